@@ -114,7 +114,8 @@ def label_norm(value: Column) -> Column:
 
 
 def identity_norm(value: Column) -> Column:
-    return F.array_join(identity_tokens(value), "")
+    """Letters and digits of any script, nothing else."""
+    return F.regexp_replace(casefold(value), r"[^\p{L}\p{N}]+", "")
 
 
 def identity_phrase(text: Column, phrase: Column) -> Column:
@@ -186,9 +187,9 @@ def bounded_query(value: Column) -> Column:
 def embedded_urls(text: Column) -> Column:
     """At most ten distinct URLs of the first 4000 characters, trailing punctuation removed."""
     found = F.regexp_extract_all(
-        F.substring(text, 1, 4000), F.lit(r"""(?i)(https?://[^\s<>"'\])}]+)"""), F.lit(1)
+        F.substring(text, 1, 4000), F.lit(r"""(?i)(https?://[^\s<>"']+)"""), F.lit(1)
     )
     return F.array_distinct(
-        F.transform(F.slice(found, 1, 10), lambda u: F.regexp_replace(u, r"[.,;:]+\z", ""))
+        F.transform(F.slice(found, 1, 10), lambda u: F.regexp_replace(u, r"[.,;:!?)\]}]+\z", ""))
     )
 

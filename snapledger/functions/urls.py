@@ -271,11 +271,11 @@ def drop_dots(path: Column) -> Column:
 
 
 def title_from_slug(path: Column) -> Column:
-    """Last path segment as words; null unless there are words and all are alphanumeric."""
+    """Last path segment as words; null unless every word is alphanumeric."""
     last = F.try_element_at(segments(path), F.lit(-1))
     decoded = decode_component(F.replace(last, F.lit("+"), F.lit("%2B")))
-    words = F.filter(F.split(decoded, r"[-_]+"), lambda w: w != "")
-    usable = (F.size(words) > 0) & F.forall(words, lambda w: w.rlike(r"\A[\p{L}\p{N}]+\z"))
+    words = F.split(decoded, r"[-_]+")
+    usable = F.forall(words, lambda w: w.rlike(r"\A[\p{L}\p{N}]+\z"))
     return F.when(usable, F.array_join(F.transform(words, title_case), " "))
 
 

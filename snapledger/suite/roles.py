@@ -93,3 +93,35 @@ FROM {events} GROUP BY event_type, day(ts)"""
 def wrap(**ctes: str) -> str:
     """``WITH a AS (...), b AS (...)`` prefix."""
     return "WITH " + ", ".join(f"{name} AS ({text})" for name, text in ctes.items()) + " "
+
+
+# Parts as addresses on many platforms; the size of the part picks the shape.
+ADDRESSES = """
+SELECT p_partkey, p_size, p_name, CASE
+  WHEN p_size <= 4 THEN concat('https://jobs.lever.co/Acme', p_partkey, '/x-1?utm_source=a')
+  WHEN p_size <= 8 THEN concat('https://t', p_partkey, '.darwinbox.com/ms/candidate/careers/')
+  WHEN p_size <= 12 THEN concat('https://t', p_partkey, '.darwinbox.com/ms/candidatev2/C', p_partkey, '/careers/list?page=2')
+  WHEN p_size <= 16 THEN concat('https://t', p_partkey, '.applytojob.com/apply/jobs/')
+  WHEN p_size <= 20 THEN concat('https://T', p_partkey, '.dream.jobs/jobs?page=3')
+  WHEN p_size <= 24 THEN concat('https://t', p_partkey, '.zohorecruit.com/jobs/Careers/', p_partkey)
+  WHEN p_size <= 28 THEN concat('https://t', p_partkey, '.myworkdayjobs.com/en/Site')
+  WHEN p_size <= 32 THEN concat('https://boards.greenhouse.io/Org', p_partkey, '/jobs/1')
+  WHEN p_size <= 36 THEN concat('https://t', p_partkey, '.jobs.personio.de/job/', p_partkey)
+  WHEN p_size <= 40 THEN concat('https://apply.workable.com/Org', p_partkey, '/')
+  WHEN p_size <= 44 THEN concat('https://t', p_partkey, '.teamtailor.com/jobs')
+  ELSE concat('https://www.c', p_partkey, '.example.com/careers?utm_medium=x') END AS url,
+  CASE WHEN p_size <= 4 THEN 'lever' WHEN p_size <= 12 THEN 'darwinbox' WHEN p_size <= 16 THEN 'jazzhr'
+  WHEN p_size <= 20 THEN 'dreamjobs' WHEN p_size <= 24 THEN 'zoho_recruit' WHEN p_size <= 28 THEN 'workday'
+  WHEN p_size <= 32 THEN 'greenhouse' WHEN p_size <= 36 THEN 'personio' WHEN p_size <= 40 THEN 'workable'
+  WHEN p_size <= 44 THEN 'teamtailor' ELSE '' END AS platform
+FROM {part}"""
+
+# Page addresses with words of the trade mixed into host, path and query.
+CAREER_URLS = """
+SELECT page_id, url, CASE
+  WHEN url LIKE '%utm_source%' THEN replace(url, 'example', 'linkedin')
+  WHEN url LIKE '%page=2%' THEN replace(url, '/en/', '/careers/page/')
+  WHEN url LIKE '%#top' THEN replace(url, '/en/', '/news/')
+  WHEN url LIKE '%.html' THEN replace(url, '.html', '/apply')
+  WHEN url LIKE '%/' THEN replace(url, '://', '://careers.')
+  ELSE replace(url, '/en/', '/jobs/') END AS link FROM {pages}"""

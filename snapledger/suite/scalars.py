@@ -98,7 +98,7 @@ def _label_norm(t):
 
 @query(
     "identity_norm",
-    f"""SELECT c_custkey, {_labels('c_name', '')} AS norm,
+    f"""SELECT c_custkey, regexp_replace(lower(c_name), '[^\\p{{L}}\\p{{N}}]+', '', 'g') AS norm,
         len(regexp_extract_all(lower(c_name), '[a-z0-9]+')) AS tokens FROM customer""",
 )
 def _identity_norm(t):
@@ -201,7 +201,7 @@ def _bounded(t):
 @query(
     "embedded_urls",
     """SELECT page_id, list_sort(list_distinct(list_transform(list_slice(regexp_extract_all(substr(doc, 1, 4000),
-        '(?i)https?://[^\\s<>"''\\])}]+'), 1, 10), lambda x: regexp_replace(x, '[.,;:]+\\z', '')))) AS urls
+        '(?i)https?://[^\\s<>"'']+'), 1, 10), lambda x: regexp_replace(x, '[.,;:!?)\\]}]+\\z', '')))) AS urls
        FROM (SELECT page_id, 'see ' || url || '. or (' || replace(url, 'http', 'HTTP') || ') and ' || url || ',' AS doc FROM pages)""",
 )
 def _embedded(t):
