@@ -125,3 +125,21 @@ SELECT page_id, url, CASE
   WHEN url LIKE '%.html' THEN replace(url, '.html', '/apply')
   WHEN url LIKE '%/' THEN replace(url, '://', '://careers.')
   ELSE replace(url, '/en/', '/jobs/') END AS link FROM {pages}"""
+
+
+# Line items as fetched page items: order = run, line number = page, supplier = item.
+ITEMS = """
+SELECT l_orderkey AS run_id, l_linenumber AS page_no, l_partkey AS position, l_suppkey AS item_id,
+       CASE WHEN l_returnflag = 'R' THEN concat('t', l_suppkey) ELSE 'same' END AS title,
+       CASE WHEN l_tax > 0.07 THEN 3 ELSE 4 END AS advertised_total
+FROM {lineitem}"""
+# One row per fetched page, pages numbered without gaps.
+FETCHED = """
+SELECT run_id, CAST(row_number() OVER (PARTITION BY run_id ORDER BY page_no) AS INT) AS page_no, raw_page,
+       concat('https://x.example.com/list/', target) AS requested_url,
+       concat('https://x.example.com/list/', target) AS final_url,
+       CASE WHEN discount > 0.08 THEN concat('body ', quantity) ELSE concat('body ', raw_page, ' ', quantity) END AS body,
+       CASE WHEN tax < 0.02 THEN NULL ELSE 'next' END AS next_url, quantity, discount, tax
+FROM (SELECT l_orderkey AS run_id, l_linenumber AS page_no, l_linenumber AS raw_page, max(l_suppkey) AS target,
+             max(l_discount) AS discount, min(l_tax) AS tax, CAST(max(l_quantity) AS INT) AS quantity
+      FROM {lineitem} GROUP BY l_orderkey, l_linenumber) AS p"""
