@@ -31,7 +31,10 @@ class Tables:
 
     def sql(self, text: str) -> DataFrame:
         used = [name for name in TABLES if "{" + name + "}" in text]
-        return self.spark.sql(text, **{name: getattr(self, name) for name in used})
+        quoted = text.replace("{", "{{").replace("}", "}}")
+        for name in used:
+            quoted = quoted.replace("{{" + name + "}}", "{" + name + "}")
+        return self.spark.sql(quoted, **{name: getattr(self, name) for name in used})
 
 
 def query(name: str, sql: str | None = None) -> Callable:

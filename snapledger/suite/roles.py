@@ -143,3 +143,33 @@ SELECT run_id, CAST(row_number() OVER (PARTITION BY run_id ORDER BY page_no) AS
 FROM (SELECT l_orderkey AS run_id, l_linenumber AS page_no, l_linenumber AS raw_page, max(l_suppkey) AS target,
              max(l_discount) AS discount, min(l_tax) AS tax, CAST(max(l_quantity) AS INT) AS quantity
       FROM {lineitem} GROUP BY l_orderkey, l_linenumber) AS p"""
+
+
+# Two snapshots of one world: stored rows (before 2000) and a new batch (from 1998 on).
+SNAP_STATE = """
+SELECT o_orderkey AS id, o_custkey AS company_id,
+       o_custkey * 2 + CASE WHEN o_orderpriority < '3' THEN 0 ELSE 1 END AS company_source_id,
+       CASE WHEN o_orderpriority < '3' THEN 'lever' ELSE 'generic' END AS source,
+       CASE WHEN o_orderpriority < '5' THEN concat('J', o_orderkey) END AS source_job_id,
+       concat('Role ', o_orderpriority) AS title,
+       concat('https://c', o_custkey, '.example.com/jobs/', o_orderkey) AS source_job_url,
+       CASE WHEN o_totalprice > 350000 THEN 'old pay' END AS compensation_text,
+       CASE WHEN o_orderstatus = 'F' AND o_totalprice < 100000 THEN 'not_found'
+            WHEN o_orderstatus = 'P' AND o_totalprice > 480000 THEN 'closed' ELSE 'active' END AS status,
+       CASE WHEN o_orderstatus = 'F' AND o_totalprice < 100000 THEN 2
+            WHEN o_orderstatus = 'O' AND o_totalprice < 150000 THEN 1 ELSE 0 END AS misses
+FROM {orders} WHERE o_orderdate < TIMESTAMP '2000-01-01 00:00:00'"""
+SNAP_BATCH = """
+SELECT o_orderkey AS record_index, o_custkey * 2 + CASE WHEN o_orderpriority < '3' THEN 0 ELSE 1 END AS company_source_id,
+       o_custkey * 2 + CASE WHEN o_orderpriority < '3' THEN 0 ELSE 1 END AS run_id,
+       CASE WHEN o_orderpriority < '3' THEN ' Lever ' ELSE 'GENERIC' END AS source,
+       CASE WHEN o_orderpriority < '5' OR o_totalprice >= 250000 THEN concat(' J', o_orderkey) END AS source_job_id,
+       concat('Role  ', o_orderpriority, CASE WHEN o_totalprice > 300000 THEN ' senior' ELSE '' END) AS title,
+       concat('HTTPS://C', o_custkey, '.example.com:443/jobs/', o_orderkey, '#x') AS source_job_url,
+       CASE WHEN o_totalprice > 350000 THEN 'new pay' END AS compensation_text,
+       CASE WHEN o_totalprice BETWEEN 400000 AND 420000 THEN 'moon' ELSE NULL END AS workplace_type
+FROM {orders} WHERE o_orderdate >= TIMESTAMP '1998-01-01 00:00:00'"""
+SNAP_RUNS = """
+SELECT id AS run_id, id AS company_source_id, CASE WHEN company_id IN (SELECT c_custkey FROM {customer} WHERE c_nationkey = 11)
+       THEN 'incomplete' END AS fetch_error FROM (SELECT c_custkey * 2 AS id, c_custkey AS company_id FROM {customer}
+       UNION ALL SELECT c_custkey * 2 + 1 AS id, c_custkey AS company_id FROM {customer}) AS s"""
