@@ -40,7 +40,7 @@ def parse_records(records: DataFrame, payload: str = "payload") -> DataFrame:
         .when(F.coalesce(*wrong).isNotNull(), F.concat(F.lit("bad_type:"), F.coalesce(*wrong)))
     )
     values = {name: F.try_variant_get("_v", f"$.{name}", "string") for name in RECORD_FIELDS}
-    return records.withColumns({"type_error": error, **values}).drop("_v", payload)
+    return variant.withColumns({"type_error": error, **values}).drop("_v", payload)
 
 
 def normalize(records: DataFrame) -> DataFrame:

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 # Elements without content, and which open element an opening tag closes.
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -176,18 +177,23 @@ def html_elements(
     wanted = None if tags is None else frozenset(tags)
     source = pages.select(*keys, F.coalesce(F.col(html), F.lit("")).alias("_html"))
     schema = T.StructType([source.schema[k] for k in keys] + ELEMENT_FIELDS)
+    arrow = to_arrow_schema(schema)
     names = [f.name for f in ELEMENT_FIELDS]
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for record in batch.itertuples(index=False):
-                head = record[: len(keys)]
+            columns: list[list] = [[] for _ in schema.fields]
+            for record in zip(*(column.to_pylist() for column in batch.columns), strict=True):
                 for row in element_rows(record[-1], wanted):
-                    rows.append((*head, *(row[n] for n in names)))
-                    if len(rows) >= 5000:
-                        yield pd.DataFrame(rows, columns=[*keys, *names])
-                        rows = []
-            yield pd.DataFrame(rows, columns=[*keys, *names])
+                    for out, value in zip(columns, (*record[:-1], *(row[n] for n in names)), strict=True):
+                        out.append(value)
+                if len(columns[0]) >= 20_000:
+                    yield _to_batch(columns, arrow)
+                    columns = [[] for _ in schema.fields]
+            yield _to_batch(columns, arrow)
 
-    return source.mapInPandas(parse, schema)
+    return source.mapInArrow(parse, schema)
+
+
+def _to_batch(columns: list[list], arrow: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)

@@ -173,3 +173,29 @@ SNAP_RUNS = """
 SELECT id AS run_id, id AS company_source_id, CASE WHEN company_id IN (SELECT c_custkey FROM {customer} WHERE c_nationkey = 11)
        THEN 'incomplete' END AS fetch_error FROM (SELECT c_custkey * 2 AS id, c_custkey AS company_id FROM {customer}
        UNION ALL SELECT c_custkey * 2 + 1 AS id, c_custkey AS company_id FROM {customer}) AS s"""
+
+
+# Parts as careers pages; the size picks what the page contains.
+CAREER_PAGES = """
+SELECT p_partkey, p_size, p_name, concat('https://c', p_partkey, '.example.com/jobs') AS url,
+  concat('<html><head><title>T</title></head><body class="page-footer"><header><a href="/jobs/head-1">Head</a></header>',
+  CASE WHEN p_size <= 10 THEN concat('<ul><li class="job-item"><a href="/jobs/', replace(p_name, ' ', '-'), '-', p_partkey,
+         '"><span class="job-title">', p_name, '  &amp; Co</span><b>x</b></a></li></ul>')
+       WHEN p_size <= 20 THEN concat('<p><a href="jobs/', replace(p_name, ' ', '-'), '-', p_partkey, '?v=1">Apply now</a></p>')
+       WHEN p_size <= 30 THEN concat('<div id="main-nav"><a href="/jobs/', replace(p_name, ' ', '-'), '">', p_name, '</a></div>')
+       WHEN p_size <= 40 THEN concat('<div class="filters"><a href="/jobs/x-', p_partkey, '">', p_name, '</a></div><ul class="pagination"><li><a href="/jobs/list/3">3</a></li></ul>')
+       ELSE concat('<p><a href="/open/vacancy/', p_partkey, '">Senior role</a> <a href="/open/vacancy/', p_partkey, '#x">Again</a></p>') END,
+  '<a href="/jobs?page=2">2</a><a href="mailto:x@y.z">m</a><a href="#top">t</a></body></html>') AS html
+FROM {part}"""
+
+# Parts as posting pages, in the forms details come in.
+DETAIL_PAGES = """
+SELECT p_partkey, p_size, p_name, p_brand, p_type, CASE
+  WHEN p_size <= 10 THEN concat('<html><head><script type="application/ld+json">{"@graph":[{"@type":"Organization"},{"@type":"JobPosting","title":" ', p_name,
+       '  role","jobLocation":{"address":{"addressLocality":"', p_type, '","addressCountry":"AT"}},"jobLocationType":"TELECOMMUTE","employmentType":"FULL_TIME","datePosted":"2024-01-02","description":"d ', p_brand,
+       '","industry":"IT","baseSalary":{"value":', p_partkey, ',"currency":"EUR"}}]}</script></head><body><h1>Old</h1></body></html>')
+  WHEN p_size <= 20 THEN concat('<html><body><nav><dl><dt>Country</dt><dd>Nowhere</dd></dl></nav><h1>', p_name, '</h1><dl><dt>Location:</dt><dd>', p_type, '</dd><dt>Salary</dt><dd>', p_partkey, ' EUR</dd></dl><div itemprop="description">Text ', p_brand, '</div></body></html>')
+  WHEN p_size <= 30 THEN concat('<html><body><h1>', p_name, '</h1><table><tr><th>Employment type</th><td>', p_type, '</td></tr><tr><th>Country</th><td>AT</td></tr></table></body></html>')
+  WHEN p_size <= 40 THEN concat('<html><body><h1> </h1><h1>', p_name, '</h1><p><strong>Salary:</strong> - ', p_partkey, '</p><p>Work model: ', p_type, '</p><li>Location: ', p_brand, '</li></body></html>')
+  ELSE concat('<html><body><h2 itemprop="headline">', p_name, '</h2><span class="job_locations">', p_type, '|', p_brand, '</span><em id="seniority-x">Lead</em></body></html>') END AS html
+FROM {part}"""

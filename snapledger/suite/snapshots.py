@@ -10,7 +10,7 @@ from snapledger.operators import validate as va
 from snapledger.plans.ingest import run_snapshots
 from snapledger.staging import stage
 from snapledger.suite.registry import query
-from snapledger.suite.roles import HISTORY, OBSERVATIONS, POSTINGS, SNAP_BATCH, SNAP_RUNS, SNAP_STATE, wrap
+from snapledger.suite.roles import HISTORY, OBSERVATIONS, POSTINGS, SNAP_BATCH, SNAP_RUNS, SNAP_STATE, SOURCES, wrap
 
 _NULL = F.lit(None).cast("string")
 _WHEN = F.timestamp_seconds(F.lit(1_700_000_000))
@@ -115,11 +115,14 @@ def _payload(t):
     return va.normalize(va.parse_records(t.sql(_PAYLOADS))).select("record_index", "reject_reason")
 
 
-@query("validate_for_merge", wrap(b=SNAP_BATCH) + "SELECT record_index, CASE WHEN lower(trim(source)) = 'generic' AND company_source_id >= 100 THEN 'unknown_owner' WHEN lower(trim(source)) = 'lever' AND company_source_id < 100 THEN 'source_mismatch' WHEN company_source_id >= 100 THEN 'unknown_owner' END AS owner_reason FROM b")
+@query(
+    "validate_for_merge",
+    wrap(b=SNAP_BATCH, s=SOURCES) + """SELECT record_index, CASE WHEN s.id IS NULL THEN 'unknown_owner' WHEN s.source <> lower(trim(b.source)) THEN 'source_mismatch' END AS owner_reason
+        FROM b LEFT JOIN (SELECT * FROM s WHERE approval_status <> 'pending') s ON s.id = b.company_source_id""",
+)
 def _owner(t):
-    sources = _sources(t).where("id < 100").withColumn("source", F.lit("Generic "))
     keyed = va.with_keys(va.normalize(_batch(t)))
-    return va.owner_check(keyed, sources).select("record_index", "owner_reason")
+    return va.owner_check(keyed, t.sql(SOURCES).where("approval_status <> 'pending'")).select("record_index", "owner_reason")
 
 
 def _keyed(t):
