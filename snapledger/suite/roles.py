@@ -199,3 +199,51 @@ SELECT p_partkey, p_size, p_name, p_brand, p_type, CASE
   WHEN p_size <= 40 THEN concat('<html><body><h1> </h1><h1>', p_name, '</h1><p><strong>Salary:</strong> - ', p_partkey, '</p><p>Work model: ', p_type, '</p><li>Location: ', p_brand, '</li></body></html>')
   ELSE concat('<html><body><h2 itemprop="headline">', p_name, '</h2><span class="job_locations">', p_type, '|', p_brand, '</span><em id="seniority-x">Lead</em></body></html>') END AS html
 FROM {part}"""
+
+
+# Orders as search results of their customer; the priority picks the kind of result.
+RESULTS = """
+SELECT o_custkey AS company_id, c_name AS name, o_orderkey AS seq, o_orderpriority AS kind,
+  concat(CASE WHEN o_orderstatus = 'F' THEN concat('"', c_name, '" official website') ELSE concat('site:x', c_custkey, ' careers') END) AS query,
+  CASE o_orderpriority
+    WHEN '1-URGENT' THEN concat('https://www.', lower(replace(c_name, '#', '')), '.example.com/about?x=1')
+    WHEN '2-HIGH' THEN 'https://www.linkedin.com/company/acme'
+    WHEN '3-MEDIUM' THEN concat('https://careers.', lower(replace(c_name, '#', '')), '.example.com/')
+    WHEN '4-NOT SPECIFIED' THEN concat('https://', lower(replace(c_name, '#', '')), '.example.org/')
+    ELSE 'https://other.example.net/' END AS url,
+  CASE o_orderpriority WHEN '1-URGENT' THEN c_name WHEN '4-NOT SPECIFIED' THEN 'Home'
+    WHEN '3-MEDIUM' THEN concat(c_name, ' Labs ', o_orderkey, ' | A customer success story') ELSE concat(c_name, ' profile') END AS title,
+  CASE o_orderpriority WHEN '1-URGENT' THEN concat('x ', c_name, ' (trading name of Alias ', o_orderkey, ') y')
+    WHEN '2-HIGH' THEN concat(c_name, ', formerly known as  Old ', o_orderkey, '; z') ELSE 'none' END AS description,
+  CAST(0.5 AS DOUBLE) AS score, false AS manual
+FROM {orders} JOIN {customer} ON o_custkey = c_custkey"""
+
+# Parts as discovery candidates: brand = tenant, five brands per company, part type picks the run.
+CANDIDATES = """
+SELECT p_partkey AS id, b * 10 + CASE p_type WHEN 'ECONOMY' THEN 1 WHEN 'SMALL' THEN 2 WHEN 'STANDARD' THEN 3 ELSE 4 END AS run_id,
+  CAST(floor(b / 5) AS BIGINT) AS company_id, CASE WHEN p_size > 44 THEN 'careers' ELSE 'source' END AS kind,
+  CASE WHEN p_size <= 12 THEN 'lever' WHEN p_size <= 24 THEN 'jazzhr' WHEN p_size <= 34 THEN 'workday' WHEN p_size <= 44 THEN 'teamtailor' ELSE '' END AS platform,
+  CASE WHEN p_size <= 12 THEN concat('https://jobs.lever.co/Acme', b) WHEN p_size <= 24 THEN concat('https://t', b, '.applytojob.com/apply')
+       WHEN p_size <= 34 THEN concat('https://t', b, '.myworkdayjobs.com/') WHEN p_size <= 44 THEN concat('https://t', b, '.teamtailor.com/')
+       ELSE concat('https://www.c', b, '.example.com/careers') END AS canonical_url, p_size, p_retailprice,
+  CAST(p_size + 40 AS INT) AS confidence, CASE WHEN p_size > 34 THEN 72 ELSE 90 END AS job_source_confidence,
+  p_size <= 24 AS supported, p_retailprice > 990 AS is_ignored,
+  CASE WHEN p_retailprice < 905 THEN 'rejected' WHEN p_size < 8 THEN 'selected' ELSE 'needs_review' END AS decision,
+  CASE WHEN p_size > 44 THEN 'company_jobs_page' WHEN p_size > 24 THEN 'unsupported_ats' ELSE 'supported_ats' END AS job_source_eligibility,
+  CASE WHEN p_size > 47 THEN 'Confirmed careers listing candidate with individual job links' WHEN p_size > 44 THEN 'Search result'
+       WHEN p_size > 34 THEN 'public careers host' ELSE 'Workday public jobs host' END AS note,
+  '' AS reason, 'current_discovery' AS origin
+FROM (SELECT *, CAST(replace(p_brand, 'Brand#', '') AS BIGINT) AS b FROM {part}) AS p"""
+DISCOVERY_RUNS = """
+SELECT DISTINCT run_id AS id, company_id, CASE WHEN run_id BETWEEN 60 AND 69 THEN 'failed' WHEN run_id = 83 THEN 'running' ELSE 'needs_review' END AS status,
+  CASE WHEN run_id IN (12, 24, 33) THEN TIMESTAMP '2024-02-01 00:00:00' ELSE TIMESTAMP '2024-01-01 00:00:00' END AS started_at
+FROM (""" + CANDIDATES + ") AS c"
+CHECKS = """
+SELECT DISTINCT run_id, p AS platform, CASE WHEN run_id BETWEEN 90 AND 99 AND p = 'lever' THEN 'search_failed' WHEN run_id BETWEEN 40 AND 45 AND p = 'jazzhr' THEN 'not_checked'
+  WHEN p = 'lever' THEN 'already_connected' ELSE 'not_found' END AS status
+FROM (SELECT run_id, 'lever' AS p FROM (""" + CANDIDATES + """) AS a UNION ALL SELECT run_id, 'jazzhr' AS p FROM (""" + CANDIDATES + """) AS b) AS u"""
+# Connected sources: some of the tenants of CANDIDATES.
+TENANT_SOURCES = """
+SELECT DISTINCT b AS id, CAST(floor(b / 5) AS BIGINT) AS company_id, 'lever' AS source, concat('https://jobs.lever.co/acme', b, '/?utm_source=x') AS source_jobs_url,
+  CASE WHEN b = 7 THEN 'blocked' WHEN b = 9 THEN 'pending' ELSE 'approved' END AS approval_status, b <> 11 AS is_active
+FROM (SELECT CAST(replace(p_brand, 'Brand#', '') AS BIGINT) AS b FROM {part}) AS p WHERE b <= 12"""
