@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed value: the characters the normalizer treats as whitespace. Java's \s is narrower.
@@ -13,6 +13,21 @@ _WS_NO_LF = WS_CHARS.replace(r"\x09-\x0d", r"\x09\x0b-\x0d")
 _EDGE_WS = rf"\A[{WS_CHARS}]+|[{WS_CHARS}]+\z"
 
 
+def bind(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a column that is computed exactly once per row.
+
+    The optimizer inlines plain columns into every later filter that reads them, which repeats
+    costly expressions many times over. Exploding a one-element array keeps rows one to one and
+    stops that, without leaving the JVM and without a shuffle.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
+def rebind(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Replace a column by a value computed exactly once per row (see ``bind``)."""
+    return bind(df, "_rebound", value).drop(name).withColumnRenamed("_rebound", name)
+
+
 def strip_ws(value: Column) -> Column:
     return F.regexp_replace(value, _EDGE_WS, "")
 
@@ -44,14 +59,18 @@ def parse_iso_ts(value: Column) -> Column:
         r"(?s)\A(\d{4}-\d{2}-\d{2})(?:.(\d{2})(?::(\d{2})(?::(\d{2})?(?:[.,](\d+))?)?)?"
         r"(?:([+-]\d{2}):?(\d{2})(?::\d{2})?)?)?\z"
     )
-    group = lambda n: F.regexp_extract(timed, shaped, n)
-    zero = lambda n: F.coalesce(blank_to_null(group(n)), F.lit("00"))
-    text = F.concat(
-        group(1), F.lit("T"), zero(2), F.lit(":"), zero(3), F.lit(":"), zero(4), F.lit("."),
-        F.substring(F.rpad(group(5), 6, "0"), 1, 6),
-        F.coalesce(blank_to_null(group(6)), F.lit("+00")), F.lit(":"), zero(7),
-    )
-    return F.when(timed.rlike(shaped), F.try_to_timestamp(text))
+
+    def build(x: Column) -> Column:
+        group = lambda n: F.regexp_extract(x, shaped, n)
+        zero = lambda n: F.coalesce(blank_to_null(group(n)), F.lit("00"))
+        text = F.concat(
+            group(1), F.lit("T"), zero(2), F.lit(":"), zero(3), F.lit(":"), zero(4), F.lit("."),
+            F.substring(F.rpad(group(5), 6, "0"), 1, 6),
+            F.coalesce(blank_to_null(group(6)), F.lit("+00")), F.lit(":"), zero(7),
+        )
+        return F.when(x.rlike(shaped), F.try_to_timestamp(text))
+
+    return F.get(F.transform(F.array(timed), build), F.lit(0))
 
 
 def norm_timestamp(value: Column) -> Column:

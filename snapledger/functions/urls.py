@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from snapledger.functions.text import blank_to_null, strip_ws, title_case
+from snapledger.functions.text import bind, blank_to_null, rebind, strip_ws, title_case
 
 _SEP = "\ufdd0"
 _URL = (
@@ -25,29 +25,33 @@ def split_url(url: Column) -> Column:
     return F.split(F.regexp_replace(clean, _URL, _SEP.join(f"${i}" for i in range(1, 8))), _SEP)
 
 
-def with_parts(df: DataFrame, url: Column | str, prefix: str) -> DataFrame:
-    """Add ``<prefix>{ok,scheme,userinfo,at,host,port,path,query}``."""
+def with_parts(df: DataFrame, url: Column | str, prefix: str, crawl: bool = False) -> DataFrame:
+    """Add ``<prefix>{ok,scheme,userinfo,at,host,port,path,query}``.
+
+    ``crawl`` applies the crawl rules: no credentials, no trailing host dot, path never empty.
+    """
     column = F.col(url) if isinstance(url, str) else url
-    array = f"{prefix}parts"
-    staged = df.withColumn(array, split_url(column))
+    array, whole = f"{prefix}parts", f"{prefix}all"
+    staged = bind(df, array, split_url(column))
     part = lambda i: F.get(F.col(array), F.lit(i))
     port = F.try_to_number(blank_to_null(part(4)), F.lit("9999999999")).cast("bigint")
     port_ok = (part(4) == "") | ((F.length(part(4)) <= 10) & (port <= 65535))
-    return staged.withColumns(
-        {
-            f"{prefix}ok": F.coalesce(
-                (F.size(array) == 7) & (F.regexp_replace(part(3), r"[\[\]]", "") != "") & port_ok,
-                F.lit(False),
-            ),
-            f"{prefix}scheme": F.lower(part(0)),
-            f"{prefix}userinfo": part(1),
-            f"{prefix}at": part(2),
-            f"{prefix}host": F.lower(part(3)),
-            f"{prefix}port": port,
-            f"{prefix}path": part(5),
-            f"{prefix}query": part(6),
-        }
-    ).drop(array)
+    host, path = F.lower(part(3)), part(5)
+    ok = (F.size(array) == 7) & (F.regexp_replace(part(3), r"[\[\].]", "") != "") & port_ok
+    if crawl:
+        host = F.regexp_replace(host, r"\.+\z", "")
+        path = F.when(path == "", F.lit("/")).otherwise(path)
+        ok = ok & (part(2) != "@")
+    parts = F.struct(
+        F.coalesce(ok, F.lit(False)).alias("ok"), F.lower(part(0)).alias("scheme"),
+        part(1).alias("userinfo"), part(2).alias("at"), host.alias("host"), port.alias("port"),
+        path.alias("path"), part(6).alias("query"),
+    )
+    return (
+        bind(staged, whole, parts)
+        .withColumns({prefix + name: F.col(f"{whole}.{name}") for name in ("ok", *_PARTS)})
+        .drop(array, whole)
+    )
 
 
 def part_names(prefix: str) -> list[str]:
@@ -83,17 +87,6 @@ def add_source_url(df: DataFrame, url: str, out: str) -> DataFrame:
     )
 
 
-def _crawl_parts(df: DataFrame, url: Column | str, p: str) -> DataFrame:
-    """Parts under the crawl rules: no credentials, no trailing host dot, path never empty."""
-    c = lambda name: F.col(p + name)
-    return (
-        with_parts(df, url, p)
-        .withColumn(p + "host", F.regexp_replace(c("host"), r"\.+\z", ""))
-        .withColumn(p + "ok", c("ok") & (c("at") != "@") & (c("host") != ""))
-        .withColumn(p + "path", F.when(c("path") == "", F.lit("/")).otherwise(c("path")))
-    )
-
-
 def _netloc(p: str) -> Column:
     port = F.col(p + "port")
     return F.concat(
@@ -112,7 +105,7 @@ def add_canonical_url(df: DataFrame, url: str, out: str, keep: str | None = None
     canonical = F.concat(
         c("scheme"), F.lit("://"), _netloc(p), c("path"), _query_suffix(c("query"))
     )
-    staged = _crawl_parts(df, url, p).withColumn("_cu_out", F.when(c("ok"), canonical))
+    staged = bind(with_parts(df, url, p, crawl=True), "_cu_out", F.when(c("ok"), canonical))
     if keep is None:
         staged = staged.drop(*part_names(p))
     return staged.drop(out).withColumnRenamed("_cu_out", out)
@@ -180,19 +173,16 @@ def add_candidate_url(df: DataFrame, url: str, out: str, keep: str | None = None
         ),
         "&",
     )
-    staged = (
-        _crawl_parts(df, url, p)
-        .withColumn(p + "path", trim_slash(c("path")))
-        .withColumn(p + "path", F.when(drop_page, trim_slash(base)).otherwise(c("path")))
-        .withColumn(p + "path", F.when(c("path") == "", F.lit("/")).otherwise(c("path")))
-        .withColumn(p + "query", F.when(c("query") == "", F.lit("")).otherwise(encoded))
-        .withColumn(
-            "_ku_out",
-            F.when(
-                c("ok"),
-                F.concat(c("scheme"), F.lit("://"), _netloc(p), c("path"), _query_suffix(c("query"))),
-            ),
-        )
+    staged = rebind(with_parts(df, url, p, crawl=True), p + "path", trim_slash(c("path")))
+    final = F.when(drop_page, trim_slash(base)).otherwise(c("path"))
+    staged = rebind(staged, p + "path", F.when(final == "", F.lit("/")).otherwise(final))
+    staged = rebind(staged, p + "query", F.when(c("query") == "", F.lit("")).otherwise(encoded))
+    staged = bind(
+        staged, "_ku_out",
+        F.when(
+            c("ok"),
+            F.concat(c("scheme"), F.lit("://"), _netloc(p), c("path"), _query_suffix(c("query"))),
+        ),
     )
     if keep is None:
         staged = staged.drop(*part_names(p))

@@ -78,7 +78,7 @@ def normalize(records: DataFrame) -> DataFrame:
         )
         .when(~workplace_check(F.col("workplace_type")), F.lit("bad_workplace_type"))
     )
-    return staged.withColumn("reject_reason", reason).drop(
+    return tx.bind(staged, "reject_reason", reason).drop(
         "_source_given", "_bad_ts", "type_error", "source_job_url_bad"
     )
 
