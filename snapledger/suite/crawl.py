@@ -7,15 +7,17 @@ from pyspark.sql import functions as F
 from snapledger.plans import discovery as dc
 from snapledger.suite.registry import query
 
-_KEY = F.col("s_suppkey")
+_KEY = "s_suppkey"
 
 
 def _say(*parts):
-    return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    """Concatenate literals, the supplier key (written ``_KEY``) and other columns."""
+    column = lambda p: F.col(p) if p == _KEY else F.lit(p)
+    return F.concat(*[column(p) if isinstance(p, str) else p for p in parts])
 
 
 def _companies(t):
-    return t.supplier.select(_KEY.alias("company_id"), _say("Acme", _KEY).alias("name"), _say("https://www.acme", _KEY, ".example.com/").alias("official_url"))
+    return t.supplier.select(F.col(_KEY).alias("company_id"), _say("Acme", _KEY).alias("name"), _say("https://www.acme", _KEY, ".example.com/").alias("official_url"))
 
 
 def _pages(t):
@@ -23,9 +25,9 @@ def _pages(t):
     portal = _say("https://portal", _KEY, ".example.net/jobs")
     home = _say("https://www.acme", _KEY, ".example.com/")
     links = F.array(_say("https://jobs.lever.co/acme", _KEY), _say("https://acme", _KEY, ".example.com/careers"), portal)
-    first = t.supplier.select(_KEY.alias("company_id"), F.lit(1).alias("page_at"), home.alias("requested_url"), home.alias("url"), F.lit("<p>hello</p>").alias("body"), F.lit(0).alias("depth"), links.alias("links"), none.alias("navigation_links"))
+    first = t.supplier.select(F.col(_KEY).alias("company_id"), F.lit(1).alias("page_at"), home.alias("requested_url"), home.alias("url"), F.lit("<p>hello</p>").alias("body"), F.lit(0).alias("depth"), links.alias("links"), none.alias("navigation_links"))
     body = F.lit('<ul><li><a href="/jobs/dev-1">Developer</a></li></ul>')
-    hop = t.supplier.select(_KEY.alias("company_id"), F.lit(2).alias("page_at"), portal.alias("requested_url"), portal.alias("url"), body.alias("body"), F.lit(1).alias("depth"), none.alias("links"), none.alias("navigation_links"))
+    hop = t.supplier.select(F.col(_KEY).alias("company_id"), F.lit(2).alias("page_at"), portal.alias("requested_url"), portal.alias("url"), body.alias("body"), F.lit(1).alias("depth"), none.alias("links"), none.alias("navigation_links"))
     return first.unionByName(hop)
 
 
@@ -64,7 +66,7 @@ def _inventory(t):
         row(2, _say("https://acme", _KEY, ".example.com/careers/list?utm_source=x"), F.lit("Careers")),
         row(3, F.lit("https://www.linkedin.com/company/x"), F.lit("Company")),
     )
-    results = t.supplier.select(_KEY.alias("company_id"), F.explode(found).alias("_r")).select(
+    results = t.supplier.select(F.col(_KEY).alias("company_id"), F.explode(found).alias("_r")).select(
         "company_id", "_r.*", F.lit("text").alias("description"), F.array(F.lit("acme")).alias("queries")
     )
     parents = t.spark.createDataFrame([], "company_id bigint, job_url string, parent string")

@@ -12,13 +12,19 @@ from snapledger.staging import stage
 from snapledger.suite.registry import query
 from snapledger.suite.roles import HISTORY, OBSERVATIONS, POSTINGS, SNAP_BATCH, SNAP_RUNS, SNAP_STATE, SOURCES, wrap
 
-_NULL = F.lit(None).cast("string")
-_WHEN = F.timestamp_seconds(F.lit(1_700_000_000))
+
+
+def _null():
+    return F.lit(None).cast("string")
+
+
+def _when():
+    return F.timestamp_seconds(F.lit(1_700_000_000))
 
 
 def _full(df):
     """Fill the record fields a role does not set."""
-    missing = {c: _NULL for c in va.RECORD_FIELDS if c not in df.columns}
+    missing = {c: _null() for c in va.RECORD_FIELDS if c not in df.columns}
     return df.withColumns(missing)
 
 
@@ -27,8 +33,8 @@ def _state(t):
     keyed = va.with_keys(rows)
     return keyed.withColumns(
         {
-            "last_reviewed_content_hash": _NULL, "first_seen_at": _WHEN, "last_seen_at": _WHEN,
-            "created_at": _WHEN, "updated_at": _WHEN, "consecutive_successful_misses": F.col("misses").cast("int"),
+            "last_reviewed_content_hash": _null(), "first_seen_at": _when(), "last_seen_at": _when(),
+            "created_at": _when(), "updated_at": _when(), "consecutive_successful_misses": F.col("misses").cast("int"),
         }
     ).select(*mg.POSTING_COLUMNS)
 
@@ -43,15 +49,15 @@ def _sources(t):
     )
     return t.customer.select("c_custkey", F.explode(pair).alias("_p")).select(
         (F.col("c_custkey") * 2 + F.col("_p.n")).alias("id"), F.col("c_custkey").alias("company_id"),
-        F.col("_p.source").alias("source"), _NULL.alias("source_jobs_url"), F.lit("approved").alias("approval_status"),
+        F.col("_p.source").alias("source"), _null().alias("source_jobs_url"), F.lit("approved").alias("approval_status"),
         F.lit(True).alias("is_active"),
     )
 
 
 def _run(t, recover=True):
     batches = t.sql(SNAP_RUNS).select(
-        "run_id", "company_source_id", (_WHEN + F.expr("INTERVAL 1 DAY")).alias("started_at"),
-        (_WHEN + F.expr("INTERVAL 1 DAY 2 SECOND")).alias("finished_at"), F.lit(1).cast("bigint").alias("requests_made"), "fetch_error",
+        "run_id", "company_source_id", (_when() + F.expr("INTERVAL 1 DAY")).alias("started_at"),
+        (_when() + F.expr("INTERVAL 1 DAY 2 SECOND")).alias("finished_at"), F.lit(1).cast("bigint").alias("requests_made"), "fetch_error",
     )
     return run_snapshots(_batch(t), batches, _sources(t), _state(t), recover=recover)
 
@@ -165,7 +171,7 @@ def _sequence(t):
 @query("merge_postings", wrap(**_STEPS) + """SELECT src AS company_source_id, coalesce(id, record_index) AS n, outcome IS NOT NULL AS seen,
     (outcome = 'created') IS TRUE AS created, (outcome = 'updated') IS TRUE AS updated, (outcome = 'unchanged') IS TRUE AS unchanged FROM o WHERE id IS NOT NULL OR good""")
 def _merge(t):
-    incoming = va.owner_check(_keyed(t).withColumn("seen_at", _WHEN), _sources(t)).drop("owner_reason", "reject_reason")
+    incoming = va.owner_check(_keyed(t).withColumn("seen_at", _when()), _sources(t)).drop("owner_reason", "reject_reason")
     merged, _resolved = mg.merge_postings(stage(incoming, "incoming"), _state(t))
     n = F.regexp_extract("source_job_url", r"/(\d+)$", 1).cast("bigint")
     flag = lambda c: (F.col(c) == 1).alias(c)
@@ -174,7 +180,7 @@ def _merge(t):
 
 @query("state_union", wrap(**_STEPS) + "SELECT company_source_id, count(*) AS rows FROM (SELECT src AS company_source_id FROM o WHERE id IS NOT NULL OR good) GROUP BY 1")
 def _union(t):
-    incoming = va.owner_check(_keyed(t).withColumn("seen_at", _WHEN), _sources(t)).drop("owner_reason", "reject_reason")
+    incoming = va.owner_check(_keyed(t).withColumn("seen_at", _when()), _sources(t)).drop("owner_reason", "reject_reason")
     merged, _resolved = mg.merge_postings(stage(incoming, "incoming"), _state(t))
     return merged.groupBy("company_source_id").agg(F.count("*").alias("rows"))
 

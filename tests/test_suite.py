@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import subprocess
+import sys
+from pathlib import Path
+
 import duckdb
 import pytest
 
@@ -42,3 +46,9 @@ def test_registry():
 
 def test_entry(spark):
     assert entry(spark).count() > 0
+
+
+def test_registry_loads_without_a_session():
+    code = "import __spark_entry__ as e; assert len(e.queries()) > 150 and e.oracle_sql()"
+    root = str(Path(__file__).resolve().parent.parent)
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=root, timeout=120)
