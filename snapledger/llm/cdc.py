@@ -1,6 +1,6 @@
 """Substring dedup by content-defined chunking.
 
-A gear hash rolls over the UTF-8 bytes of a text; a chunk ends where its low bits are zero, so borders
+A gear hash rolls over the UTF-8 bytes of a text; a chunk ends where its top bits are zero, so borders
 depend on the last ``WINDOW`` bytes only and find themselves again behind an insertion. Chunks are compared
 by a 128-bit digest over the whole corpus. A chunk found in two documents or more is repeated; its first
 place (smallest document, then position) keeps it, every other place may drop it. Adjacent repeated chunks
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from snapledger.llm.common import stage, table
 from snapledger.llm.registry import query
 
-WINDOW, MASK_BITS, MIN_CHUNK, MAX_CHUNK, MIN_SPAN = 32, 5, 24, 256, 64
+WINDOW, MASK_BITS, MIN_CHUNK, MAX_CHUNK, MIN_SPAN = 32, 4, 16, 128, 64
 
 
 def gear_table() -> np.ndarray:
@@ -44,7 +44,7 @@ def chunk_ends(data: bytes) -> list[int]:
     while span < WINDOW:  # h over 2 spans = h over the last span + (h over the one before) << span
         h[span:] += h[:-span] << np.uint32(span)
         span *= 2
-    # The top bits mix the whole window; places before a full window are no borders.
+    # Only the top bits mix the whole window.
     borders = np.flatnonzero(h >> np.uint32(32 - MASK_BITS) == 0) + 1
     ends, last = [], 0
     for end in [*borders.tolist(), n]:
