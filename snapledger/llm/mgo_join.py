@@ -32,7 +32,8 @@ from pyspark.sql import functions as F
 from snapledger.llm.common import stage, table
 from snapledger.llm.registry import query
 
-WORDS, PERCENT, BUCKETS, HUB_ROUNDS = 5, 80, 1 << 20, 3
+WORDS, PERCENT, BUCKETS, HUB_ROUNDS = 5, 80, 1 << 20, 2
+HINT_BITS, HINT_BLOCKS, SALTS = 1 << 24, 64, 64
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -77,35 +78,57 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
 
 
 def _summaries(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, d1, d2) of every document, and (bucket, seen) shingle counts of every task."""
+    """(doc_id, n, d1, d2) of every document, and (block, salt, counts) of every task: shingle counts by hash bucket."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(BUCKETS, np.int64)
-        names = ["doc_id", "n", "d1", "d2", "bucket", "seen"]
+        names = ["doc_id", "n", "d1", "d2", "block", "salt", "counts"]
+        salt = 0
         for batch in batches:
             sets = [shingles(t) for t in batch.column(1).to_pylist()]
             if sets:
                 seen += np.bincount((np.concatenate(sets) & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
             d = np.frombuffer(b"".join(hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets), "<i8").reshape(-1, 2)
             none = pa.nulls(len(sets), pa.int64())
-            cols = [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy()), none, none]
+            salt = int(d[0, 0]) % SALTS if len(d) else salt
+            cols = [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy()), none, none, pa.nulls(len(sets), pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, names=names)
-        hit = np.flatnonzero(seen)
-        none = pa.nulls(len(hit), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(hit), pa.array(seen[hit])], names=names)
+        if seen.any():
+            none = pa.nulls(HINT_BLOCKS, pa.int64())
+            blocks = [x.astype("<u4").tobytes() for x in seen.reshape(HINT_BLOCKS, -1)]
+            cols = [none, none, none, none, pa.array(range(HINT_BLOCKS), pa.int64()), pa.array([salt] * HINT_BLOCKS, pa.int64()), pa.array(blocks, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=names)
+
+    return docs.mapInArrow(work, "doc_id bigint, n bigint, d1 bigint, d2 bigint, block bigint, salt bigint, counts binary")
+
+
+def _blockwise(rows: DataFrame, keys: list[str], width: str, out: str, fold) -> DataFrame:
+    """Fold the equally long arrays in ``rows.counts`` (``width``) of every key into one (``out``), batch by batch."""
 
-    return docs.mapInArrow(work, "doc_id bigint, n bigint, d1 bigint, d2 bigint, bucket bigint, seen bigint")
+    def work(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            for x in batch.column(batch.schema.get_field_index("counts")).to_pylist():
+                new = np.frombuffer(x, width).astype(out)
+                total = new if total is None else fold(total, new)
+        cols = [pa.array([k.as_py()], pa.int64()) for k in key] + [pa.array([total.tobytes()], pa.binary())]
+        yield pa.RecordBatch.from_arrays(cols, names=[*keys, "counts"])
+
+    kind = "".join(f"{k} bigint, " for k in keys) + "counts binary"
+    return rows.select(*keys, "counts").groupBy(*keys).applyInArrow(work, kind)
 
 
 def frequency_levels(summaries: DataFrame) -> np.ndarray:
-    """For every bucket, by how many powers of two its count exceeds the mean: ``BUCKETS`` small numbers."""
-    sums = summaries.filter("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("seen").alias("seen"))
-    mean = (sums.agg(F.sum("seen").alias("s")).first()["s"] or 0) / BUCKETS
-    level = F.floor(F.log2(F.col("seen") / (mean + 4.0)))
-    high = sums.select("bucket", level.alias("level")).filter("level >= 1").toPandas()
-    levels = np.zeros(BUCKETS, np.uint64)
-    levels[high["bucket"].to_numpy(np.int64)] = high["level"].to_numpy(np.int64).astype(np.uint64)
-    return levels
+    """For every bucket, how far its count is above the mean, in half powers of two: ``BUCKETS`` small numbers."""
+    tasks = summaries.filter("block IS NOT NULL")
+    sums = _blockwise(_blockwise(tasks, ["block", "salt"], "<u4", "<i8", np.add), ["block"], "<i8", "<i8", np.add)
+    seen = np.zeros((HINT_BLOCKS, BUCKETS // HINT_BLOCKS))
+    for row in sums.collect():  # ``BUCKETS`` numbers in all
+        seen[row["block"]] = np.frombuffer(row["counts"], "<i8")
+    seen = seen.reshape(-1)
+    mean = seen.mean()
+    chance = 4.0 * mean**0.5 + 4.0  # what rare shingles that share a bucket by chance may add to the mean
+    return np.maximum(0, np.floor(1 + 2 * np.log2(np.maximum(seen - mean, 1e-9) / chance))).astype(np.uint64)
 
 
 def _prefixes(docs: DataFrame, levels: np.ndarray, percent: int) -> DataFrame:
@@ -123,10 +146,43 @@ def _prefixes(docs: DataFrame, levels: np.ndarray, percent: int) -> DataFrame:
     return docs.mapInArrow(work, "doc_id bigint, tokens array<bigint>")
 
 
+def _slots(ids: pa.Array) -> np.ndarray:
+    return (mixed(ids.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)) & np.uint64(HINT_BITS - 1)).astype(np.int64)
+
+
+def _hinted(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` without most of those that are not in ``ids``: a bitmap of ``HINT_BITS`` id hashes goes to the scan.
+
+    It only saves shuffling texts; the join that follows decides. The bitmap's size is fixed; it is put
+    together by blocks from the tasks' bitmaps.
+    """
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(HINT_BITS, bool)
+        for batch in batches:
+            bits[_slots(batch.column(0))] = True
+        blocks = np.packbits(bits).reshape(HINT_BLOCKS, -1)
+        used = np.flatnonzero(blocks.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array([blocks[k].tobytes() for k in used], pa.binary())], names=["block", "counts"])
+
+    marked = ids.mapInArrow(mark, "block bigint, counts binary")
+    found = _blockwise(marked, ["block"], "<u1", "<u1", np.bitwise_or).collect()  # HINT_BITS / 8 bytes in all
+    packed = np.zeros((HINT_BLOCKS, HINT_BITS // 8 // HINT_BLOCKS), np.uint8)
+    for row in found:
+        packed[row["block"]] = np.frombuffer(row["counts"], np.uint8)
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.unpackbits(packed.reshape(-1)).astype(bool)
+        for batch in batches:
+            yield batch.filter(pa.array(bits[_slots(batch.column(0))]))
+
+    return docs.select("doc_id", "text").mapInArrow(sift, "doc_id bigint, text string")
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that link. Texts of the documents in pairs are joined to them; a text is looked at whole."""
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    texts = _hinted(docs, ids).join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     both = (
         pairs.select("a", "b")
         .join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
@@ -188,7 +244,7 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """
     ids = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     found = stage(_summaries(ids), "shingle-sets")
-    own = found.filter("bucket IS NULL").groupBy("doc_id").agg(F.min(F.struct("n", "d1", "d2")).alias("s")).select("doc_id", "s.*")
+    own = found.filter("block IS NULL").groupBy("doc_id").agg(F.min(F.struct("n", "d1", "d2")).alias("s")).select("doc_id", "s.*")
     classes = own.filter("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"))
     member = stage(own.join(classes, ["n", "d1", "d2"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")), "classes")
     reps = member.filter("n > 0 AND doc_id = rep").select("doc_id", "n")
