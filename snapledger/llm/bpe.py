@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import codecs
 import json
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,7 +30,9 @@ from snapledger.llm.registry import query
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Code points with the Unicode property White_Space.
 WHITE = frozenset("\t\n\x0b\x0c\r \x85\xa0     　" + "".join(map(chr, range(0x2000, 0x200B))))
-MAX_PIECE, MAX_PIECES, MAX_PAIRS = 64, 600_000, 1_000_000
+ONLY_BYTES = (3, 2, 1)
+RARE_WHITE = re.compile("[" + "".join(sorted(WHITE - {" ", "\n"})) + "]")
+MAX_PIECE, MAX_PIECES, MAX_PAIRS = 64, 300_000, 300_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -63,6 +66,13 @@ class Bpe:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.bytes_of = {i: b for b, i in self.ids.items()} | {i: s.encode() for s, i in self.special.items()}
         self.longest = max(map(len, self.ids))
+        ends: dict[bytes, set[int]] = {}
+        for token in self.ids:  # by the last bytes, how long tokens that end so are; a window may begin within the last three
+            for last in {token[-3:], *(token[-k:] for k in (1, 2))}:
+                ends.setdefault(last, set()).add(len(token))
+        short = lambda last: {k for j in range(1, len(last) + 1) for k in ends.get(last[-j:], ()) if k <= j}
+        found = {last: (sizes if len(last) == 3 else set()) | short(last) for last, sizes in ends.items()}
+        self.lengths = {last: tuple(sorted(sizes, reverse=True)) for last, sizes in found.items()}
         self.lookahead = sufficient_lookahead(merges)
         self.joined = {(self.ids[a], self.ids[b]): rank for rank, (a, b) in enumerate(merges)}
         self.rank = {self.ids[a + b]: rank for rank, (a, b) in enumerate(merges)}
@@ -104,12 +114,13 @@ class Bpe:
     def transduce(self, chunks: Iterator[bytes]) -> Iterator[int]:
         """Ids of one pretoken that comes in chunks of bytes."""
         window, ends, before = b"", [], -1  # ends[k]: (id, length) of the token that ends behind byte k
-        find, longest, pairs, stays = self.ids.get, self.longest, self._pairs, self.stays
+        find, longest, pairs, stays, lengths = self.ids.get, self.longest, self._pairs, self.stays, self.lengths
         for chunk in chunks:
             window += chunk
             for n in range(len(ends) + 1, len(window) + 1):
-                for start in range(n - longest if n > longest else 0, n):
-                    token = find(window[start:n])
+                for length in lengths.get(window[n - 3 if n > 3 else 0 : n], ONLY_BYTES):
+                    start = n - length
+                    token = find(window[start:n]) if start >= 0 else None
                     if token is not None:
                         left = ends[start - 1][0] if start else before
                         if left < 0 or ((left, token) in pairs and pairs[left, token]) or stays(left, token):
@@ -185,8 +196,8 @@ class Bpe:
 def pieces_of(text: str) -> list[str]:
     """Cut a text before every single space between two non-blank characters."""
     parts = text.split(" ")
-    if not any(not p or p[0] in WHITE or p[-1] in WHITE for p in parts):
-        return [parts[0], *[" " + p for p in parts[1:]]]
+    if "  " not in text and "\n " not in text and " \n" not in text and text[:1] not in WHITE and text[-1:] not in WHITE and not RARE_WHITE.search(text):
+        return [parts[0], *map(" ".__add__, parts[1:])]
     out, open_ = [], [parts[0]]
     for part in parts[1:]:
         last = open_[-1]

@@ -22,13 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snapledger.llm.bpe import pieces_of, vocabulary
+from snapledger.llm.bpe import WHITE, pieces_of, vocabulary
 from snapledger.llm.common import stage, table
 from snapledger.llm.registry import query
 from snapledger.staging import staging_dir
 
 MAX_BITS, SEGMENT, END_ID = 18, 512, 0
-MAX_PIECE, MAX_PIECES, BATCH = 64, 600_000, 64
+MAX_PIECE, MAX_PIECES, BATCH, DECODE_BATCH = 64, 400_000, 64, 1024
 
 
 class LibraryCoder:
@@ -41,22 +41,40 @@ class LibraryCoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.known: dict[str, bytes] = {}
+        special = {i: len(t.content.encode()) for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        sizes = {i: len(t) for t, i in self.tokenizer.get_vocab().items()} | special  # a letter of a token is a byte
+        self.sizes = np.array([sizes.get(i, 0) for i in range(max(sizes) + 1)], np.int64)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         known, cut = self.known, [pieces_of(t or "") for t in texts]
-        new = {p for pieces in cut for p in pieces if p not in known}
+        every = set().union(*cut)
+        new = every.difference(known)
         if len(known) + len(new) > MAX_PIECES:
             known.clear()
-            new = {p for pieces in cut for p in pieces}
-        names = list(new)
-        for piece, found in zip(names, self.tokenizer.encode_batch_fast(names, add_special_tokens=False), strict=True):
-            known[piece] = np.asarray(found.ids, "<u4").tobytes()
+            new = every
+        self._learn(list(new))
         out = [b"".join(map(known.__getitem__, pieces)) for pieces in cut]
-        for piece in names:
+        for piece in new:
             if len(piece) > MAX_PIECE:
                 del known[piece]
         return out
 
+    def _learn(self, new: list[str]) -> None:
+        """Encode pieces. Those that begin with a space and a non-blank and end with a non-blank stand side by
+        side in one text, since pretokens begin there anyway, and are told apart by their bytes."""
+        plain = [p for p in new if p[:1] == " " and len(p) > 1 and p[1] not in WHITE and p[-1] not in WHITE]
+        other = [p for p in new if not (p[:1] == " " and len(p) > 1 and p[1] not in WHITE and p[-1] not in WHITE)]
+        for piece, found in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False), strict=True):
+            self.known[piece] = np.asarray(found.ids, "<u4").tobytes()
+        if plain:
+            ids = np.asarray(self.tokenizer.encode_batch_fast(["".join(plain)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.cumsum([len(p.encode()) for p in plain])
+            cuts = np.searchsorted(np.cumsum(self.sizes[ids]), ends) + 1
+            raw, at = ids.tobytes(), 0
+            for piece, cut in zip(plain, (4 * cuts).tolist(), strict=True):
+                self.known[piece] = raw[at:cut]
+                at = cut
+
 
 @lru_cache(maxsize=2)
 def library_coder(path: str) -> LibraryCoder:
@@ -262,8 +280,8 @@ def read_ids(spark: SparkSession, folder: str) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, sizes = decode_table(lengths)
         for big in batches:
-            for at in range(0, big.num_rows, BATCH):
-                batch = big.slice(at, BATCH)
+            for at in range(0, big.num_rows, DECODE_BATCH):  # many segments step together
+                batch = big.slice(at, DECODE_BATCH)
                 n = batch.column(2).to_pylist()
                 starts = [s + before[p] for s, p in zip(batch.column(1).to_pylist(), batch.column(5).to_pylist(), strict=True)]
                 blocks = list(zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), n, strict=True))
