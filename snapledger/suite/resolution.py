@@ -63,8 +63,7 @@ def _covered(t):
         row_number() OVER (PARTITION BY company_id ORDER BY seq) AS rank FROM r WHERE kind IN ('1-URGENT', '2-HIGH')) WHERE rank <= 2""",
 )
 def _aliases(t):
-    # The alias text follows a mention of the company name; the title itself carries none.
-    return ca.company_aliases(t.sql(RESULTS).withColumn("title", F.lit("Result")))
+    return ca.company_aliases(t.sql(RESULTS), limit=2)
 
 
 @query(
@@ -340,7 +339,7 @@ def _connect(t):
     return ca.connect_decision(official, found, pages, sources).select("company_id", "connect", "decision", "status")
 
 
-_CONFIRM = wrap(**_BASE, n="SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY id) AS q FROM c", h="SELECT n.*, l.id AS lid, l.approval_status AS ap, l.is_active AS live FROM n LEFT JOIN l ON l.cid = n.id WHERE q <= 20",
+_CONFIRM = wrap(**_BASE, n="SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY id) AS q FROM c", h="SELECT n.*, l.id AS lid, l.approval_status AS ap, l.is_active AS live FROM n LEFT JOIN l ON l.cid = n.id",
                 o="""SELECT *, CASE WHEN is_ignored OR decision = 'rejected' OR NOT (p_size <= 24 OR p_size > 47 OR p_size BETWEEN 25 AND 34) THEN 'refused_not_eligible' WHEN ap IN ('blocked', 'rejected') THEN 'refused_blocked'
                     WHEN lid IS NOT NULL AND NOT live AND ap <> 'approved' THEN 'refused_unapproved' WHEN lid IS NOT NULL AND NOT live THEN 'reactivated' WHEN lid IS NOT NULL THEN 'already_connected' ELSE 'connected' END AS raw FROM h""")
 

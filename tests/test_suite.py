@@ -11,6 +11,7 @@ import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
 from check import plain
+from snapledger.suite import load
 from snapledger.suite.registry import TABLES
 
 FAST = (
@@ -40,8 +41,10 @@ def test_query_equals_sql(spark, small, con, name):
 
 
 def test_registry():
-    assert set(queries()) - set(oracle_sql()) == {"unique_cards"}
+    own, oracles = load()
+    assert set(own) - set(oracles) == {"unique_cards"}
     assert not set(oracle_sql()) - set(queries())
+    assert set(own) <= set(queries())
 
 
 def test_entry(spark):
