@@ -81,6 +81,7 @@ class Bpe:
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self._pairs: dict[tuple[int, int], bool] = {}
         self._pieces: dict[str, bytes] = {}
+        self._tokens: dict[bytes, tuple[int, ...]] = {}
 
     def stays(self, left: int, right: int) -> bool:
         """Whether two tokens side by side are what merging their joint bytes gives: no merge of a lower rank
@@ -149,11 +150,14 @@ class Bpe:
         out: list[int] = []
         for match in self.pattern.finditer(text):
             raw = match.group().encode()
-            token = self.ids.get(raw) if len(raw) == 1 else None
-            if token is not None:
-                out.append(token)
-            else:
-                out.extend(self.transduce(raw[k : k + 4096] for k in range(0, len(raw), 4096)))
+            known = self._tokens.get(raw)
+            if known is None:
+                known = tuple(self.transduce(raw[k : k + 4096] for k in range(0, len(raw), 4096)))
+                if len(raw) <= MAX_PIECE:
+                    if len(self._tokens) >= MAX_PIECES:
+                        self._tokens.clear()
+                    self._tokens[raw] = known
+            out.extend(known)
         return out
 
     def _piece(self, text: str) -> bytes:
