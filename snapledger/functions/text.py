@@ -203,12 +203,10 @@ def bounded_query(value: Column) -> Column:
     return F.substring(F.array_join(F.slice(words, 1, 50), " "), 1, 400)
 
 
-def embedded_urls(text: Column) -> Column:
-    """At most ten distinct URLs of the first 4000 characters, trailing punctuation removed."""
-    found = F.regexp_extract_all(
-        F.substring(text, 1, 4000), F.lit(r"""(?i)(https?://[^\s<>"']+)"""), F.lit(1)
-    )
-    return F.array_distinct(
-        F.transform(F.slice(found, 1, 10), lambda u: F.regexp_replace(u, r"[.,;:!?)\]}]+\z", ""))
-    )
+def embedded_urls(text: Column, chars: int | None = None, limit: int | None = None) -> Column:
+    """Distinct URLs, trailing punctuation removed; of the first ``chars`` characters and ``limit`` matches, if given."""
+    seen = text if chars is None else F.substring(text, 1, chars)
+    found = F.regexp_extract_all(seen, F.lit(r"""(?i)(https?://[^\s<>"']+)"""), F.lit(1))
+    first = found if limit is None else F.slice(found, 1, limit)
+    return F.array_distinct(F.transform(first, lambda u: F.regexp_replace(u, r"[.,;:!?)\]}]+\z", "")))
 

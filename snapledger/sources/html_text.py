@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import html
-from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -109,13 +108,13 @@ def _sanitize(value: str) -> str:
 
 
 def _mapped(df: DataFrame, column: str, out: str, work) -> DataFrame:
-    schema = T.StructType([*df.schema.fields, T.StructField(out, T.StringType())])
+    """Only the one column goes through Python."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield batch.assign(**{out: [None if v is None else work(v) for v in batch[column]]})
+    @F.pandas_udf(T.StringType())
+    def run(values: pd.Series) -> pd.Series:
+        return pd.Series([None if v is None else work(v) for v in values], dtype=object)
 
-    return df.mapInPandas(run, schema)
+    return df.withColumn(out, run(F.col(column)))
 
 
 def html_to_lines(df: DataFrame, column: str, out: str) -> DataFrame:
