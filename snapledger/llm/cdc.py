@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from snapledger.llm.common import stage, table
+from snapledger.llm.common import table
 from snapledger.llm.registry import query
 
 WINDOW, MASK_BITS, MIN_CHUNK, MAX_CHUNK, MIN_SPAN = 32, 4, 16, 128, 64
@@ -90,7 +90,8 @@ def repeated_spans(docs: DataFrame, min_span: int = MIN_SPAN) -> DataFrame:
     empty texts have no spans; chunks repeated only inside one document are no repeats; rows that share
     a ``doc_id`` are one document and rows without one are left out. An empty table gives no rows.
     """
-    placed = stage(chunks(docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull()), F.col("doc_id")), "chunks")
+    # Chunks are made twice, once to count them and once to look them up: cheaper than keeping them on disk.
+    placed = chunks(docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull()), F.col("doc_id"))
     digests = placed.groupBy("d1", "d2").agg(
         F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.count("*").alias("places")
     ).filter(F.col("first_doc") < F.col("last_doc"))
