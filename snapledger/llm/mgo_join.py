@@ -10,6 +10,11 @@ min(p_a - n_a, p_b - n_b) + overlap of them. Candidates must pass this filter un
 * order 1 (by hash) and order 2 (by another mix of the hash) are tested on a candidate's two sets before
   the full sets are compared.
 
+The first shingle that two linked sets share under order 0 leaves at least the needed overlap behind it in both,
+which bounds its place in each (positional filter). The parities of a set's shingles in ``PARITY_WORDS`` 64-bit
+words bound the symmetric difference of two sets from below (bitmap filter). Both drop pairs that can't link,
+and no others. Shingles in the prefixes of the very same documents act as one of their joint weight.
+
 Documents with the same set are one class from the start. To keep a large group of near copies from making
 all its pairs, candidates come in rounds: first only pairs with one hub per shared shingle; verified links
 are merged into components; then other hubs; at last every remaining pair of documents that share enough
@@ -34,6 +39,7 @@ from snapledger.llm.registry import query
 
 WORDS, PERCENT, BUCKETS, HUB_ROUNDS = 5, 80, 1 << 20, 2
 HINT_BITS, HINT_BLOCKS, SALTS = 1 << 24, 64, 64
+PARITY_WORDS = 16
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -61,6 +67,13 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
     return n - -(-percent * n // 100) + 1
 
 
+def parities(s: np.ndarray) -> np.ndarray:
+    """Whether an even or odd number of shingles falls on each of 64 * ``PARITY_WORDS`` bits."""
+    bits = 64 * PARITY_WORDS
+    odd = np.bincount((s % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(bool)).view(np.int64)
+
+
 def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     """Filters under the further orders, then the exact test 100 * |a & b| >= percent * |a | b|."""
     if not len(a) or not len(b) or 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
@@ -132,18 +145,20 @@ def frequency_levels(summaries: DataFrame) -> np.ndarray:
 
 
 def _prefixes(docs: DataFrame, levels: np.ndarray, percent: int) -> DataFrame:
-    """(doc_id, tokens): the prefix of every document under order 0."""
+    """(doc_id, tokens, parity): the prefix of every document under order 0, in order, and its set's parities."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
+            out, parity = [], []
             for text in batch.column(1).to_pylist():
                 s = shingles(text)
+                parity.append(parities(s))
                 order = np.lexsort((s, levels[(s & np.uint64(BUCKETS - 1)).astype(np.int64)]))
                 out.append(s[order[: prefix_length(len(s), percent)]].view(np.int64) if len(s) else s.view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64()))], names=["doc_id", "tokens"])
+            kind = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind), pa.array(parity, kind)], names=["doc_id", "tokens", "parity"])
 
-    return docs.mapInArrow(work, "doc_id bigint, tokens array<bigint>")
+    return docs.mapInArrow(work, "doc_id bigint, tokens array<bigint>, parity array<bigint>")
 
 
 def _slots(ids: pa.Array) -> np.ndarray:
@@ -251,24 +266,42 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     levels = frequency_levels(found)
     prefix = _prefixes(ids, levels, percent).join(reps, "doc_id").dropDuplicates(["doc_id"])
-    rows = stage(prefix.select("doc_id", F.col("n").cast("int").alias("n"), F.col("tokens")), "prefixes")
-    each = rows.select(F.explode("tokens").alias("token"), "doc_id", "n")
-    shared = each.groupBy("token").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high")
-    hits = stage(each.join(shared.select("token"), "token"), "shared-prefixes")
+    rows = stage(prefix.select("doc_id", F.col("n").cast("int").alias("n"), "tokens", "parity"), "prefixes")
+    hits = stage(_shared_prefixes(rows), "shared-prefixes")
 
     labels = stage(reps.select("doc_id", F.col("doc_id").alias("label")), "labels")
     for turn in range(HUB_ROUNDS):
         pairs = stage(_hub_pairs(hits, labels, turn, percent), "hub-pairs")
         labels = components(labels, stage(_verified(pairs, ids, percent), "links-found"))
-    pairs = stage(_rest_pairs(hits, labels, percent), "rest-pairs")
+    pairs = stage(_rest_pairs(hits, labels, rows.select("doc_id", "parity"), percent), "rest-pairs")
     labels = components(labels, stage(_verified(pairs, ids, percent), "links-found"))
     lowest = member.join(labels.select(F.col("doc_id").alias("rep"), "label"), "rep", "left")
     return lowest.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "rep").alias("component_id"))
 
 
+def _shared_prefixes(rows: DataFrame) -> DataFrame:
+    """(token, doc_id, n, pos, weight): prefix shingles found in two documents or more.
+
+    Shingles of the very same documents (known by two 64-bit sums of their ids' hashes and their number) get one
+    ``token``; ``weight`` is how many they are and ``pos`` the first one's place in the document's order.
+    """
+    each = rows.select(F.posexplode("tokens").alias("pos", "shingle"), "doc_id", "n")
+    holders = each.groupBy("shingle").agg(
+        F.count("*").alias("c"), F.bit_xor(F.xxhash64("doc_id")).alias("x"), F.bit_xor(F.xxhash64(F.lit("second"), "doc_id")).alias("y")
+    )
+    token = F.xxhash64("c", "x", "y").alias("token")
+    shared = each.join(holders.filter("c > 1").select("shingle", token), "shingle")
+    return shared.groupBy("token", "doc_id").agg(F.first("n").alias("n"), F.min("pos").alias("pos"), F.count("*").alias("weight"))
+
+
+def _needed(a: str, b: str, percent: int) -> Column:
+    """Shingles that two linked sets of these sizes share at least."""
+    return F.ceil(percent * (F.col(a) + F.col(b)) / F.lit(100 + percent))
+
+
 def _enough(a: str, b: str, percent: int) -> Column:
     """Prefix shingles that a pair must share at least."""
-    need = F.ceil(percent * (F.col(a) + F.col(b)) / F.lit(100 + percent))
+    need = _needed(a, b, percent)
     short = lambda n: 1 - F.ceil(percent * F.col(n) / F.lit(100))
     return F.greatest(F.lit(1), F.least(short(a), short(b)) + need)
 
@@ -295,18 +328,27 @@ def _hub_pairs(hits: DataFrame, labels: DataFrame, turn: int, percent: int) -> D
     hubs = rows.groupBy("token").agg(F.min(first).alias("h")).select("token", "h.hub", "h.n_hub", "h.label_hub")
     met = rows.join(hubs, "token").filter((F.col("label") != F.col("label_hub")) & _sizes_fit("n", "n_hub", percent))
     counted = met.groupBy(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b")).agg(
-        F.count("*").alias("c"), F.first("n").alias("n"), F.first("n_hub").alias("n_hub")
+        F.sum("weight").alias("c"), F.first("n").alias("n"), F.first("n_hub").alias("n_hub")
     )
     return counted.filter(2 * F.col("c") >= _enough("n", "n_hub", percent)).select("a", "b")
 
 
-def _rest_pairs(hits: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Every pair in different components that shares as many prefix shingles as a link must."""
-    rows = stage(_open_hits(hits, labels), "open-prefixes")
-    side = lambda s: rows.select("token", F.col("doc_id").alias(s), F.col("n").alias(f"n_{s}"), F.col("label").alias(f"label_{s}"))
-    met = side("a").join(side("b"), "token").filter((F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")) & _sizes_fit("n_a", "n_b", percent))
-    counted = met.groupBy("a", "b").agg(F.count("*").alias("c"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"))
-    return counted.filter(F.col("c") >= _enough("n_a", "n_b", percent)).select("a", "b")
+def _rest_pairs(hits: DataFrame, labels: DataFrame, parity: DataFrame, percent: int) -> DataFrame:
+    """Every pair in different components that passes the positional and the bitmap filter and shares as many
+    prefix shingles as a link must."""
+    rows = stage(_open_hits(hits, labels), "open-prefixes").join(parity, "doc_id")
+    side = lambda s: rows.select("token", F.col("doc_id").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("n", "label", "pos", "parity")])
+    need = _needed("n_a", "n_b", percent)
+    in_place = (F.col("pos_a") <= F.col("n_a") - need) & (F.col("pos_b") <= F.col("n_b") - need)
+    odd = F.zip_with("parity_a", "parity_b", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    differ = F.aggregate(odd, F.lit(0), lambda total, x: total + x)
+    near = differ <= F.col("n_a") + F.col("n_b") - 2 * need
+    apart = (F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")) & _sizes_fit("n_a", "n_b", percent)
+    found = side("a").join(side("b"), ["token"]).filter(apart & in_place & near).select("a", "b", "n_a", "n_b").distinct()
+    bags = hits.groupBy("doc_id").agg(F.collect_list(F.struct("token", "weight")).alias("bag"))  # at most its own prefix
+    bag = lambda s: bags.select(F.col("doc_id").alias(s), F.col("bag").alias(f"bag_{s}"))
+    common = F.aggregate(F.array_intersect("bag_a", "bag_b"), F.lit(0).cast("bigint"), lambda total, x: total + x["weight"])
+    return found.join(bag("a"), "a").join(bag("b"), "b").filter(common >= _enough("n_a", "n_b", percent)).select("a", "b")
 
 
 OP9_SQL = r"""

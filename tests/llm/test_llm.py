@@ -441,6 +441,36 @@ def test_components_of_long_chains(spark):
     assert got == {k: 0 if k < n else k for k in range(n + 2)}
 
 
+def test_parities_bound_the_difference():
+    rng = np.random.default_rng(5)
+    for size in (0, 1, 7, 300, 5000):
+        whole = np.unique(rng.integers(0, 1 << 63, size + size // 4, dtype=np.uint64))
+        a, b = whole[: len(whole) - size // 8], whole[size // 8 :]
+        bound = sum(int(x).bit_count() for x in (mgo_join.parities(a) ^ mgo_join.parities(b)).view(np.uint64))
+        assert bound <= len(np.setxor1d(a, b, True))
+
+
+def test_jaccard_families_just_under_the_threshold(spark):
+    """Many texts share most of their words and don't link, some in between do: no link is lost to a filter."""
+    rng = np.random.default_rng(11)
+    base = [f"w{k}" for k in range(120)]
+    texts = []
+    for k in range(60):
+        words = list(base)
+        at = int(rng.integers(0, 100))
+        words[at : at + int(rng.integers(0, 14))] = [f"x{k}y{j}" for j in range(int(rng.integers(0, 14)))]
+        texts.append(" ".join(words))
+    got = {r["doc_id"]: r["component_id"] for r in mgo_join.jaccard_components(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    low = list(range(len(texts)))
+    for _ in texts:
+        for a in range(len(texts)):
+            for b in range(len(texts)):
+                if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                    low[a] = low[b] = min(low[a], low[b])
+    assert got == dict(enumerate(low))
+
+
 def test_jaccard_odd_rows(spark):
     got = {r["doc_id"]: r["component_id"] for r in mgo_join.jaccard_components(odd_docs(spark)).collect()}
     assert got == {k: 6 if k == 7 else k for k in range(12)}
