@@ -325,6 +325,33 @@ def test_quality_odd_rows(spark):
     assert quality.judge(odd_docs(spark).limit(0), labels).count() == 0
 
 
+def test_quality_keeps_good_documents_outside_a_small_target(spark, small):
+    """Few labels: documents that are no worse than the trusted ones stay, though they aren't in the target."""
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    labels = spark.read.parquet(f"{small}/labels.parquet")
+    good = sorted(r["doc_id"] for r in labels.filter("quality = 1 AND coalesce(toxic, 0) = 0").collect())
+    few = labels.filter(~F.col("doc_id").isin(good[::2]))
+    rows = {r["doc_id"]: r for r in quality.judge(docs, few).collect()}
+    held_out = [rows[d] for d in good[::2] if not rows[d]["base_failed"]]
+    assert len(held_out) >= 20 and sum(r["kept"] for r in held_out) >= 0.9 * len(held_out)
+    known = {r["doc_id"] for r in labels.collect()}
+    rows = quality.judge(docs, labels).filter("NOT base_failed").collect()
+    unlabelled = [r["kept"] for r in rows if r["doc_id"] not in known]
+    assert sum(unlabelled) >= 0.8 * len(unlabelled)
+
+
+def test_held_out_scores_equal_a_target_without_the_document(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    docs = docs.union(docs.filter("doc_id % 7 = 0"))  # repeated rows are left out together
+    trusted = quality.trusted_ids(spark.read.parquet(f"{small}/labels.parquet")).localCheckpoint()
+    _, raw, good = quality.bucket_weights(docs, trusted, 1 << 12)
+    scores = {r["doc_id"]: r["score"] for r in quality.held_out_scores(docs, trusted, raw, good).collect()}
+    for d in [min(d for d in scores if d % 7 == 0), min(d for d in scores if d % 7)]:
+        weights, *_ = quality.bucket_weights(docs, trusted.filter(F.col("doc_id") != d), 1 << 12)
+        row = docs.filter(F.col("doc_id") == d).select(quality.mean_weight(quality.words_of(F.col("text")), weights).alias("s")).first()
+        assert abs(row["s"] - scores[d]) < 1e-9
+
+
 # --- op7 ---
 
 
