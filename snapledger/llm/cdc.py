@@ -2,9 +2,10 @@
 
 A gear hash rolls over the UTF-8 bytes of a text; a chunk ends where its top bits are zero, so borders
 depend on the last ``WINDOW`` bytes only and find themselves again behind an insertion. Chunks are compared
-by a 128-bit digest over the whole corpus. A chunk found in two documents or more is repeated; its first
-place (smallest document, then position) keeps it, every other place may drop it. Adjacent repeated chunks
-are reported as one span if it has ``min_span`` bytes.
+by a 128-bit digest over the whole corpus. A chunk found at two places or more, of one document or several, is
+repeated; its first place (smallest document, then position) keeps it, every other place may drop it. Adjacent
+repeated chunks that are all first places, or all not, are reported as one span; stretches of adjacent repeated chunks
+count from ``min_span`` bytes.
 
 Only digests and places are shuffled. Digest counts are partial aggregates; places find their digest with a
 plain equi-join, which adaptive execution splits at hot digests. No pairs of places are ever made.
@@ -58,13 +59,13 @@ def chunk_ends(data: bytes) -> list[int]:
 
 
 def chunks(docs: DataFrame, key: Column) -> DataFrame:
-    """(key, at, size, d1, d2): the chunks of every text with their byte places and digests."""
+    """(key, at, size, d1, d2, flat): the chunks of every text with their byte places and digests; flat: one and the same byte."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
             for start in range(0, big.num_rows, 256):
                 batch = big.slice(start, 256)
-                rows, at, size, digests = [], [], [], []
+                rows, at, size, digests, flat = [], [], [], [], []
                 for k, text in enumerate(batch.column(1).to_pylist()):
                     data, last = (text or "").encode(), 0
                     for end in chunk_ends(data):
@@ -72,42 +73,55 @@ def chunks(docs: DataFrame, key: Column) -> DataFrame:
                         rows.append(k)
                         at.append(last)
                         size.append(end - last)
+                        flat.append(data.count(data[last], last, end) == end - last)
                         last = end
                 both = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
                 keys = batch.column(0).take(pa.array(rows, pa.int64()))
-                cols = [keys, pa.array(at, pa.int32()), pa.array(size, pa.int32()), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "at", "size", "d1", "d2"])
+                cols = [keys, pa.array(at, pa.int32()), pa.array(size, pa.int32()), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), pa.array(flat, pa.bool_())]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "at", "size", "d1", "d2", "flat"])
 
-    return docs.select(key.alias("doc_id"), "text").mapInArrow(work, "doc_id bigint, at int, size int, d1 bigint, d2 bigint")
+    return docs.select(key.alias("doc_id"), "text").mapInArrow(work, "doc_id bigint, at int, size int, d1 bigint, d2 bigint, flat boolean")
 
 
 def repeated_spans(docs: DataFrame, min_span: int = MIN_SPAN) -> DataFrame:
-    """Spans of every text that other documents hold too.
+    """Spans of every text that are found elsewhere too, in other documents or at other places of the same one.
 
     (doc_id, start, length, n_chunks, first_doc, n_places, is_first): bytes of the UTF-8 text; ``first_doc`` is the
     smallest document with one of the span's chunks, ``n_places`` the most places that share one, and
-    ``is_first`` whether every chunk of the span has its first place here (so that the span stays). Null or
-    empty texts have no spans; chunks repeated only inside one document are no repeats; rows that share
-    a ``doc_id`` are one document and rows without one are left out. An empty table gives no rows.
+    ``is_first`` whether the chunks of the span have their first place here (so that the span stays); a span is
+    all first or not at all, and a stretch of repeated chunks with both is cut where that changes. ``min_span`` holds
+    for the whole stretch, so that no piece of a long one is lost by the cut. Null or empty texts have no spans; rows
+    that share a ``doc_id`` are one document (equal places of such rows are one place) and rows without one are
+    left out. Chunks of one and the same byte count only if several documents hold them: a run of it, such as a ruler, is
+    no passage that comes again. An empty table gives no rows.
     """
     # Chunks are made twice, once to count them and once to look them up: cheaper than keeping them on disk.
     placed = chunks(docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull()), F.col("doc_id"))
+    at = F.when(~F.col("flat"), F.col("at"))
     digests = placed.groupBy("d1", "d2").agg(
-        F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.count("*").alias("places")
-    ).filter(F.col("first_doc") < F.col("last_doc"))
-    found = placed.join(digests, ["d1", "d2"])
+        F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.min(at).alias("low"), F.max(at).alias("high"), F.count("*").alias("places")
+    ).filter((F.col("first_doc") < F.col("last_doc")) | (F.col("low") < F.col("high"))).select("d1", "d2", "first_doc", "places")
+    # One exchange by document serves the windows over its digests and over its places.
+    found = placed.drop("flat").join(digests, ["d1", "d2"]).repartition("doc_id")
+    lowest = F.min("at").over(Window.partitionBy("doc_id", "d1", "d2"))
+    found = found.withColumn("is_first", (F.col("first_doc") == F.col("doc_id")) & (F.col("at") == lowest))
     by_doc = Window.partitionBy("doc_id").orderBy("at", "size", "d1", "d2")
-    new = F.coalesce(F.col("at") > F.lag(F.col("at") + F.col("size")).over(by_doc), F.lit(True))
-    runs = found.withColumn("new", new.cast("int")).withColumn("run", F.sum("new").over(by_doc))
-    spans = runs.groupBy("doc_id", "run").agg(
+    apart = F.coalesce(F.col("at") > F.lag(F.col("at") + F.col("size")).over(by_doc), F.lit(True))
+    turned = apart | (F.col("is_first") != F.lag("is_first").over(by_doc))
+    marked = found.withColumn("apart", apart.cast("int")).withColumn("turned", turned.cast("int"))
+    runs = marked.withColumn("stretch", F.sum("apart").over(by_doc)).withColumn("run", F.sum("turned").over(by_doc))
+    end = F.max(F.col("at") + F.col("size"))
+    spans = runs.groupBy("doc_id", "stretch", "run").agg(
         F.min("at").cast("bigint").alias("start"),
-        (F.max(F.col("at") + F.col("size")) - F.min("at")).cast("bigint").alias("length"),
+        (end - F.min("at")).cast("bigint").alias("length"),
         F.count("*").alias("n_chunks"),
         F.min("first_doc").alias("first_doc"),
         F.max("places").alias("n_places"),
-        F.min(F.col("first_doc") == F.col("doc_id")).alias("is_first"),
+        F.first("is_first").alias("is_first"),
     )
-    return spans.filter(F.col("length") >= min_span).drop("run")
+    whole = Window.partitionBy("doc_id", "stretch")
+    stretch = F.max(F.col("start") + F.col("length")).over(whole) - F.min("start").over(whole)
+    return spans.withColumn("_whole", stretch).filter(F.col("_whole") >= min_span).drop("stretch", "run", "_whole")
 
 
 @query("op8_substring_dedup")

@@ -422,6 +422,25 @@ def test_planted_passages_are_found(spark):
         assert piece in text[s["first_doc"]].encode() and s["is_first"] == (s["first_doc"] == s["doc_id"])
 
 
+def test_repeats_inside_a_document_and_neighbouring_passages(spark):
+    draw = random.Random(16)
+    words = lambda n: " ".join("".join(draw.choice("etaoinshrdlu") for _ in range(draw.randint(2, 8))) for _ in range(n))
+    a, b, c = (words(90) for _ in range(3))
+    gap = [words(40) for _ in range(8)]
+    text = {1: f"{gap[0]} {c} {gap[1]} {c} {gap[2]} {c} {gap[3]}", 2: f"{gap[4]} {a} {gap[5]}", 3: f"{a} {b}", 4: f"{gap[6]} {b} {gap[7]}"}
+    spans = cdc.repeated_spans(spark.createDataFrame(list(text.items()), "doc_id bigint, text string")).collect()
+    kept, dropped = defaultdict(bytes), defaultdict(bytes)
+    for s in sorted(spans, key=lambda s: (s["doc_id"], s["start"])):
+        piece = text[s["doc_id"]].encode()[s["start"] : s["start"] + s["length"]]
+        (kept if s["is_first"] else dropped)[s["doc_id"]] += piece
+        assert s["first_doc"] <= s["doc_id"] and s["n_places"] >= 2
+    n = len(c)
+    assert 0.6 * n <= len(kept[1]) <= n + 2 and 1.2 * n <= len(dropped[1]) <= 2 * n + 4  # one copy of three stays
+    assert len(kept[2]) >= 0.6 * len(a) and not dropped[2]
+    assert len(dropped[3]) >= 0.6 * len(a) and len(kept[3]) >= 0.6 * len(b)  # a was met in 2, b is first here
+    assert not kept[4] and len(dropped[4]) >= 0.6 * len(b)
+
+
 def test_cdc_odd_rows(spark):
     rows = cdc.repeated_spans(odd_docs(spark)).collect()
     assert {r["doc_id"] for r in rows} == {6, 7}
