@@ -72,6 +72,24 @@ def _aliases(t):
         row_number() OVER (PARTITION BY company_id ORDER BY seq) AS rank FROM r WHERE kind = '3-MEDIUM') WHERE rank <= 2""",
 )
 def _customer(t):
+    return ca.customer_aliases(t.sql(RESULTS).withColumn("url", F.lit("https://explore.darwinbox.com/stories/x")), limit=2)
+
+
+@query(
+    "company_aliases_all",
+    wrap(r=RESULTS) + """SELECT company_id, CASE kind WHEN '1-URGENT' THEN 'Alias ' ELSE 'Old ' END || seq AS alias,
+        row_number() OVER (PARTITION BY company_id ORDER BY seq) AS rank FROM r WHERE kind IN ('1-URGENT', '2-HIGH')""",
+)
+def _all_aliases(t):
+    return ca.company_aliases(t.sql(RESULTS))
+
+
+@query(
+    "customer_alias_all",
+    wrap(r=RESULTS) + """SELECT company_id, name || ' Labs ' || seq AS alias, row_number() OVER (PARTITION BY company_id ORDER BY seq) AS rank,
+        'https://customer0l' || substr(seq::VARCHAR, 1, 1) || '.darwinbox.com/ms/candidate/careers' AS tenant_url FROM r WHERE kind = '3-MEDIUM'""",
+)
+def _all_customer(t):
     return ca.customer_aliases(t.sql(RESULTS).withColumn("url", F.lit("https://explore.darwinbox.com/stories/x")))
 
 
