@@ -31,8 +31,8 @@ from snapledger.llm.registry import query
 
 #: The sentencepiece stand-in for a space.
 MARK = "▁"
-#: Windows remembered per worker, and bytes of the longest one that is.
-MOST_WINDOWS, LONGEST_WINDOW = 300_000, 256
+#: Stretches per tokenizer and windows remembered per worker, and bytes of the longest window that is.
+MOST_PIECES, MOST_WINDOWS, LONGEST_WINDOW = 200_000, 200_000, 256
 
 
 class Side:
@@ -77,11 +77,14 @@ class Vocabularies:
     """Both tokenizers, and all id pairs whose tokens can end together, as sorted codes."""
 
     def __init__(self, a_path: str, b_path: str) -> None:
-        self.a_pieces, self.b_pieces = LibraryPieces(a_path, plain_special=True), SentencePieces(b_path)
+        self.a_pieces = LibraryPieces(a_path, plain_special=True, most=MOST_PIECES)
+        self.b_pieces = SentencePieces(b_path, most=MOST_PIECES)
         letters, special = byte_letters(), self.a_pieces.tokenizer.get_added_tokens_decoder()
         raw = lambda t: bytes(letters[c] for c in t)
         self.a = Side({i: special[i].content.encode() if i in special else raw(t) for t, i in self.a_pieces.tokenizer.get_vocab().items()})
         self.b = self.b_pieces.side
+        named = [f"{i}{end}" for side, last in ((self.a, "|"), (self.b, ";")) for i in range(len(side.tokens)) for end in (",", last)]
+        self.names = Side(dict(enumerate(map(str.encode, named))))
         self.width = len(self.b.tokens)
         of_a, of_b = _by_bytes(self.a), _by_bytes(self.b)
         codes = {i * self.width + j for i, t in enumerate(self.a.tokens) for k in range(len(t)) for j in of_b.get(t[k:], ())}
@@ -89,46 +92,50 @@ class Vocabularies:
         self.pairs = np.array(sorted(codes), np.int64)
         self.windows: dict[bytes, tuple[str, bytes]] = {}
 
-    def align(self, a: tuple[int, ...], b: tuple[int, ...]) -> tuple[str, list[tuple[int, int]]]:
-        """Groups of a window as text, and the pair of tokens at the end of each."""
-        groups, links, i, j, a_at, b_at = [], [], 0, 0, 0, 0
-        a_from = b_from = 0
-        while i < len(a) or j < len(b):
-            if a_at <= b_at:
-                a_at += int(self.a.sizes[a[i]])
-                i += 1
-            else:
-                b_at += int(self.b.sizes[b[j]])
-                j += 1
-            if a_at == b_at:
-                groups.append(f"{','.join(map(str, a[a_from:i]))}|{','.join(map(str, b[b_from:j]))}")
-                links.append((a[i - 1], b[j - 1]))
-                a_from, b_from = i, j
-        return ";".join(groups), links
-
-    def windows_of(self, keys: list[bytes], splits: list[int]) -> list[tuple[str, bytes]]:
-        """Alignments of windows, given as ids of A and of B in one string; ``splits`` are the numbers of A's ids."""
+    def align(self, a: np.ndarray, b: np.ndarray, a_size: np.ndarray, b_size: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Alignments of windows, given as ids of A and of B one behind the other and how many each window has.
+
+        Groups of each window as text (``a1,a2|b1;a3|b2``), numbers of the pairs that end its groups, and how many.
+        """
+        a_end, b_end = np.cumsum(self.a.sizes[a]), np.cumsum(self.b.sizes[b])  # the sides of a window cover the same bytes
+        ends = np.zeros((2, int(a_end[-1]) + 1), bool)
+        ends[0, a_end] = ends[1, b_end] = True
+        a_last, b_last = ends[1, a_end], ends[0, b_end]
+        a_group, b_group = np.cumsum(a_last) - a_last, np.cumsum(b_last) - b_last
+        a_upto, b_upto = np.flatnonzero(a_last) + 1, np.flatnonzero(b_last) + 1
+        written = np.empty(len(a) + len(b), np.int64)
+        written[np.arange(len(a)) + np.concatenate([[0], b_upto])[a_group]] = 2 * a + a_last
+        written[np.arange(len(b)) + a_upto[b_group]] = 2 * (len(self.a.tokens) + b.astype(np.int64)) + b_last
+        text = self.names.bytes_of(written).tobytes().decode("ascii")
+        last_token = np.cumsum(a_size + b_size) - 1
+        text_end = np.cumsum(self.names.sizes[written])[last_token].tolist()
+        texts = [text[s : e - 1] for s, e in zip([0, *text_end[:-1]], text_end, strict=True)]
+        codes = a[a_last].astype(np.int64) * self.width + b[b_last]
+        per = np.diff(np.concatenate([[0], np.cumsum(a_last)])[np.concatenate([[0], np.cumsum(a_size)])])
+        return texts, np.searchsorted(self.pairs, codes), per
+
+    def windows_of(self, keys: list[bytes]) -> list[tuple[str, bytes]]:
+        """Groups and pair numbers (little-endian 32-bit) of windows, each given as one string of 32-bit numbers: how
+        many ids of A, then A's ids, then B's."""
         known = self.windows
-        new = [k for k, key in enumerate(keys) if key not in known]
+        new = [k for k in keys if k not in known]
         if len(known) + len(new) > MOST_WINDOWS:
             known.clear()
-            new = list(range(len(keys)))
-        texts, links, sizes = [], [], []
-        for k in new:
-            ids = np.frombuffer(keys[k], "<u4").tolist()
-            text, pairs = self.align(tuple(ids[1 : 1 + splits[k]]), tuple(ids[1 + splits[k] :]))
-            texts.append(text)
-            links.extend(pairs)
-            sizes.append(len(pairs))
-        codes = np.array(links, np.int64).reshape(-1, 2)
-        raw, at = np.searchsorted(self.pairs, codes[:, 0] * self.width + codes[:, 1]).astype("<i4").tobytes(), 0
-        for k, text, size in zip(new, texts, sizes, strict=True):
-            known[keys[k]] = (text, raw[at : at + 4 * size])
-            at += 4 * size
+            new = keys
+        if new:
+            ids = np.frombuffer(b"".join(new), "<u4")
+            size = np.fromiter(map(len, new), np.int64, len(new)) // 4
+            first = np.cumsum(size) - size
+            a_size = ids[first].astype(np.int64)
+            place = np.arange(len(ids)) - np.repeat(first, size)
+            of_a = place <= np.repeat(a_size, size)
+            texts, pairs, per = self.align(ids[of_a & (place > 0)], ids[~of_a], a_size, size - 1 - a_size)
+            raw, ends = pairs.astype("<i4").tobytes(), (4 * np.cumsum(per)).tolist()
+            known.update(zip(new, zip(texts, [raw[s:e] for s, e in zip([0, *ends[:-1]], ends, strict=True)], strict=True), strict=True))
         found = [known[key] for key in keys]
-        for k in new:
-            if len(keys[k]) > LONGEST_WINDOW:
-                del known[keys[k]]
+        for key in new:
+            if len(key) > LONGEST_WINDOW:
+                del known[key]
         return found
 
 
@@ -185,8 +192,7 @@ def _aligned(texts: pa.Array, v: Vocabularies) -> tuple[list, list, list, list,
     offsets = np.append(first, len(ids)).astype(np.int64) * 4
     coded = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(ids)]).dictionary_encode()
     keys = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-    splits = [int.from_bytes(key[:4], "little") for key in keys]
-    found = v.windows_of(keys, splits)
+    found = v.windows_of(keys)
     which = coded.indices.to_numpy()
     per = np.fromiter((len(x) // 4 for _t, x in found), np.int64, len(found))
     links = gather(np.frombuffer(b"".join(x for _t, x in found), "<i4"), np.cumsum(per)[which] - per[which], per[which])
@@ -207,7 +213,7 @@ def _groups(docs: DataFrame, a_path: str, b_path: str, keep_groups: bool) -> Dat
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabularies(a_path, b_path)
         for big in batches:
-            for at, to in slices(big.column(1), 1 << 20):
+            for at, to in slices(big.column(1)):
                 n_a, n_b, n_groups, groups, pairs = _aligned(big.column(1).slice(at, to - at), v)
                 digests = [hashlib.sha256(g.encode()).hexdigest() if g else "" for g in groups]
                 offsets = pa.array(np.concatenate([[0], np.cumsum(n_groups)]), pa.int32())

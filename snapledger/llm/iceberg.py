@@ -1,12 +1,12 @@
 """Source divergence audit: frequent terms by iceberg prefix refinement, then exact divergences between sources.
 
-1. One pass turns each document into its distinct terms in byte order, each with its count and with ``shared``, the number
-   of bytes it shares with the term before it in the same document. Per slice of text, equal (lang, source, term, shared)
-   add up. A document has a prefix of length L once for the one term with ``shared`` < L, so the number of distinct documents
-   of any prefix is a plain sum over these rows: no set of documents is ever held or shuffled.
-2. Refinement: prefixes of 2 bytes are counted per lang; those found in fewer than ``least`` documents are discarded with
-   all their terms; the prefixes kept are extended to 4, 8, 16, ... bytes, each level reading only rows whose prefix
-   survived the one before. It ends when every kept prefix is a complete term. A term shorter than the level stands for itself.
+1. One pass turns each document into its distinct terms in byte order. ``since`` says from which level on a term's prefix
+   differs from that of the term before it in the same document, so a document has a prefix at a level once, for the one term
+   with ``since`` <= level, and the number of distinct documents of any prefix is a plain sum: no set of documents is held
+   or shuffled. Per slice of text, equal (lang, term, since) become one row with the occurrences per source as an array.
+2. Refinement: prefixes of 4 bytes are counted per lang; those found in fewer than ``least`` documents are discarded with
+   all their terms; those kept are extended to 8, 16, ... bytes, each level reading only rows whose prefix survived
+   the one before. A term shorter than the level stands for itself and is done; it ends when no longer prefix is left.
 3. Counts of the kept terms per source, and from them the divergences in exact integers.
 
 Terms not counted in a source all have one and the same p there. A pair's sum over all kept terms therefore is: the terms both
@@ -17,6 +17,7 @@ the rest times a constant. No row is made for a term that a source doesn't count
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +28,12 @@ from snapledger.llm.common import stage, table
 from snapledger.llm.pieces import slices, text_bytes
 from snapledger.llm.registry import query
 
-LEAST_DOCUMENTS, TOP_TERMS, FIRST_LEVEL = 10, 10, 2
+LEAST_DOCUMENTS, TOP_TERMS, FIRST_LEVEL = 10, 10, 4
 #: Text bytes of a slice, within which equal rows add up.
-SLICE = 4 << 20
+SLICE = 8 << 20
+
+#: Levels up to the longest text there can be.
+LEVELS = FIRST_LEVEL << np.arange(30, dtype=np.int64)
 
 _TERM = np.zeros(256, bool)
 _TERM[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -64,8 +68,8 @@ def _least_between(values: np.ndarray, left: np.ndarray, right: np.ndarray) -> n
     return out
 
 
-def _term_rows(texts: pa.Array, group: np.ndarray) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray, np.ndarray]:
-    """(group, term, shared, documents, occurrences) summed over the texts of a slice."""
+def _term_rows(texts: pa.Array, lang: np.ndarray, source: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Per (lang, term, since) of a slice: lang, term, since, documents, end of its run of (source, occurrences); and the runs."""
     raw, ends = text_bytes(texts)
     inside = np.zeros(len(raw) + 1, bool)
     inside[:-1] = _TERM[raw]
@@ -76,7 +80,7 @@ def _term_rows(texts: pa.Array, group: np.ndarray) -> tuple[np.ndarray, list[byt
     begins[ends[:-1][ends[:-1] < len(raw)]] |= inside[ends[:-1][ends[:-1] < len(raw)]]
     start = np.flatnonzero(begins[:-1])
     if not len(start):
-        return np.zeros(0, np.int64), [], *(np.zeros(0, np.int64) for _ in range(3))
+        return tuple(np.zeros(0, np.int64) for _ in range(7))
     closes = np.flatnonzero(inside[:-1] & ~inside[1:] | inside[:-1] & np.isin(np.arange(1, len(raw) + 1), ends)) + 1
     # Terms and the gaps between them alternate in one array of strings; only the terms are read.
     offsets = np.empty(2 * len(start) + 1, np.int64)
@@ -87,7 +91,7 @@ def _term_rows(texts: pa.Array, group: np.ndarray) -> tuple[np.ndarray, list[byt
     order = np.argsort(words, kind="stable")
     rank = np.empty(len(words), np.int64)
     rank[order] = np.arange(len(words))
-    terms = words[order].tolist()
+    terms = words[order].tolist()  # sorted
     doc = np.searchsorted(ends, start, "right") - 1
     key, count = np.unique(doc * len(terms) + rank[coded.indices.to_numpy()], return_counts=True)
     doc, term = key // len(terms), key % len(terms)
@@ -95,30 +99,37 @@ def _term_rows(texts: pa.Array, group: np.ndarray) -> tuple[np.ndarray, list[byt
     after = np.flatnonzero(doc[1:] == doc[:-1]) + 1
     if len(after):
         shared[after] = _least_between(_shared_bytes(terms), term[after - 1], term[after])
-    deepest = int(shared.max()) + 1
-    whole = (group[doc] * len(terms) + term) * deepest + shared
+    since = np.searchsorted(LEVELS, shared, "right")
+    n_sources = int(source.max()) + 1
+    whole = ((lang[doc] * len(terms) + term) * len(LEVELS) + since) * n_sources + source[doc]
     rows, where, n_docs = np.unique(whole, return_inverse=True, return_counts=True)
     n = np.bincount(where, count, len(rows)).astype(np.int64)
-    return rows // deepest // len(terms), [terms[k] for k in (rows // deepest % len(terms)).tolist()], rows % deepest, n_docs, n
+    outer = rows // n_sources
+    first = np.flatnonzero(np.append(True, outer[1:] != outer[:-1]))
+    row = outer[first]
+    named = words[order][row // len(LEVELS) % len(terms)]
+    return row // len(LEVELS) // len(terms), named, LEVELS[row % len(LEVELS)], np.add.reduceat(n_docs, first), np.append(first[1:], len(rows)), rows % n_sources, n
 
 
 def term_rows(docs: DataFrame) -> DataFrame:
-    """(lang, source, term, shared, docs, n): partial sums of distinct documents and occurrences, not yet added up."""
+    """(lang, term, since, docs, sources, n): partial sums, not yet added up; ``sources`` and ``n`` run side by side."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
             for at, to in slices(big.column(2), SLICE):
                 batch = big.slice(at, to - at)
-                codes = [c.dictionary_encode() for c in batch.columns[:2]]
-                width = max(1, len(codes[1].dictionary))
-                group = codes[0].indices.to_numpy() * width + codes[1].indices.to_numpy()
-                of, terms, shared, n_docs, n = _term_rows(batch.column(2), group.astype(np.int64))
-                names = [c.dictionary.take(pa.array(k)) for c, k in zip(codes, (of // width, of % width), strict=True)]
-                cols = [*(x.cast(pa.string()) for x in names), pa.array(terms, pa.binary()).cast(pa.string()), pa.array(shared, pa.int32()), pa.array(n_docs, pa.int64()), pa.array(n, pa.int64())]
-                yield pa.RecordBatch.from_arrays(cols, names=["lang", "source", "term", "shared", "docs", "n"])
+                langs, sources = (c.dictionary_encode() for c in batch.columns[:2])
+                codes = [c.indices.to_numpy().astype(np.int64) for c in (langs, sources)]
+                lang, terms, since, n_docs, ends, source, n = _term_rows(batch.column(2), *codes)
+                offsets = pa.array(np.append(0, ends), pa.int32())
+                cols = [
+                    langs.dictionary.take(pa.array(lang)).cast(pa.string()), pa.array(terms, pa.binary()).cast(pa.string()), pa.array(since, pa.int64()), pa.array(n_docs, pa.int64()),
+                    pa.ListArray.from_arrays(offsets, sources.dictionary.take(pa.array(source)).cast(pa.string())), pa.ListArray.from_arrays(offsets, pa.array(n, pa.int64())),
+                ]
+                yield pa.RecordBatch.from_arrays(cols, names=["lang", "term", "since", "docs", "sources", "n"])
 
     plain = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")])
-    return plain.mapInArrow(work, "lang string, source string, term string, shared int, docs bigint, n bigint")
+    return plain.mapInArrow(work, "lang string, term string, since bigint, docs bigint, sources array<string>, n array<bigint>")
 
 
 def _prefix(level: int) -> Column:
@@ -127,13 +138,16 @@ def _prefix(level: int) -> Column:
 
 def frequent_terms(rows: DataFrame, least: int = LEAST_DOCUMENTS) -> DataFrame:
     """(lang, term) found in at least ``least`` documents of the lang; ``rows`` is a written table of ``term_rows``."""
-    alive, level = rows, FIRST_LEVEL
+    alive, level, done = rows, FIRST_LEVEL, []
     while True:
-        found = alive.where(F.col("shared") < level).groupBy("lang", _prefix(level).alias("_prefix")).agg(F.sum("docs").alias("_docs"))
+        found = alive.where(F.col("since") <= level).groupBy("lang", _prefix(level).alias("_prefix")).agg(F.sum("docs").alias("_docs"))
         kept = stage(found.where(F.col("_docs") >= least).select("lang", "_prefix"), f"prefixes-{level}")
-        if kept.where(F.octet_length("_prefix") >= level).isEmpty():
-            return kept.select("lang", F.col("_prefix").cast("string").alias("term"))
-        alive = rows.withColumn("_prefix", _prefix(level)).join(kept, ["lang", "_prefix"], "left_semi").drop("_prefix")
+        open_ = F.octet_length("_prefix") >= level
+        done.append(kept.where(~open_).select("lang", F.col("_prefix").cast("string").alias("term")))
+        if kept.where(open_).isEmpty():
+            return stage(reduce(DataFrame.unionByName, done), "kept-terms")
+        longer = rows.where(F.octet_length("term") >= level).withColumn("_prefix", _prefix(level))
+        alive = longer.join(kept.where(open_), ["lang", "_prefix"], "left_semi").drop("_prefix")
         level *= 2
 
 
@@ -158,9 +172,8 @@ def audit(docs: DataFrame, least: int = LEAST_DOCUMENTS, top: int = TOP_TERMS) -
     """
     rows = stage(term_rows(docs), "term-rows")
     kept = frequent_terms(rows, least)
-    counts = stage(
-        rows.join(kept, ["lang", "term"], "left_semi").groupBy("lang", "source", "term").agg(F.sum("n").alias("n")), "term-counts"
-    )
+    each = rows.join(kept, ["lang", "term"], "left_semi").select("lang", "term", F.explode(F.arrays_zip("sources", "n")).alias("_of"))
+    counts = stage(each.groupBy("lang", F.col("_of.sources").alias("source"), "term").agg(F.sum("_of.n").alias("n")), "term-counts")
     groups = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")]).distinct()
     sizes = kept.groupBy("lang").agg(F.count("*").alias("v"))
     totals = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count("*").alias("terms"))

@@ -9,6 +9,7 @@ next to a space may belong to wider white space, no cut is made: a missing cut o
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -109,20 +110,20 @@ class PieceTable:
         return ids, places[np.searchsorted(cuts, ends)]
 
 
-def stands_alone(piece: str) -> bool:
-    """Whether the stretch begins with one space and ends without white space, so that it may stand beside others."""
-    return 1 < len(piece) <= LONGEST and piece[0] == " " and not piece[1].isspace() and not piece[-1].isspace()
+#: Matches a stretch that begins with one space and ends without white space, so that it may stand beside others.
+stands_alone = re.compile(r" \S(?:.{0,62}\S)?", re.DOTALL).fullmatch
 
 
 def learn_side_by_side(
-    pieces: list[str], joinable: Callable[[str], bool], together: Callable[[str], np.ndarray],
+    pieces: list[str], joinable: Callable[[str], object], together: Callable[[str], np.ndarray],
     single: Callable[[list[str]], list[np.ndarray]], sizes: np.ndarray,
 ) -> list[bytes]:
     """Ids of each stretch. Those that may stand beside others are encoded as one text and told apart by the bytes
     of the ids (``sizes``); the others one by one, and all of them where the bytes don't add up."""
     out: list[bytes] = [b""] * len(pieces)
-    rest = [k for k, p in enumerate(pieces) if not joinable(p)]
-    beside = [k for k, p in enumerate(pieces) if joinable(p)]
+    able = list(map(joinable, pieces))
+    rest = [k for k, yes in enumerate(able) if not yes]
+    beside = [k for k, yes in enumerate(able) if yes]
     if beside:
         ids = np.asarray(together("".join([pieces[k] for k in beside])), "<u4")
         ends = np.cumsum([len(pieces[k].encode()) for k in beside])
@@ -157,7 +158,8 @@ class LibraryPieces(PieceTable):
         special = {i: len(t.content.encode()) for i, t in added.items()}
         sizes = {i: len(t) for t, i in self.tokenizer.get_vocab().items()} | special  # a letter of a token is a byte
         self.sizes = np.array([sizes.get(i, 0) for i in range(max(sizes) + 1)], np.int64)
-        self.marks = () if plain_special else tuple(t.content for t in added.values())
+        marks = "|".join(re.escape(t.content) for t in added.values())
+        self.mark = re.compile(marks).search if marks and not plain_special else None
         self.together = _by_ranks(path) or self._one
         super().__init__(self._encode, **bounds)
 
@@ -167,11 +169,10 @@ class LibraryPieces(PieceTable):
     def _single(self, texts: list[str]) -> list[np.ndarray]:
         return [np.asarray(x.ids) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _joinable(self, piece: str) -> bool:
-        return stands_alone(piece) and not any(mark in piece for mark in self.marks)
-
     def _encode(self, new: list[str]) -> list[bytes]:
-        return learn_side_by_side(new, self._joinable, self.together, self._single, self.sizes)
+        mark = self.mark
+        joinable = (lambda p: stands_alone(p) and not mark(p)) if mark else stands_alone
+        return learn_side_by_side(new, joinable, self.together, self._single, self.sizes)
 
 
 def _by_ranks(path: str) -> Callable[[str], np.ndarray] | None:
