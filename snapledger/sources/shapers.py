@@ -14,12 +14,13 @@ from pyspark.sql import functions as F
 
 from snapledger.functions import text as tx
 from snapledger.functions.urls import encode_component, resolve_href, with_parts
-from snapledger.operators.pages import jsonld_postings
+from snapledger.operators.pages import broken_jsonld, detail_metadata, generic_records, postings_of
 from snapledger.operators.platforms import Parts, apply_job_id, card_job_id, with_segments
-from snapledger.operators.validate import RECORD_FIELDS
+from snapledger.operators.validate import RECORD_FIELDS, parse_records
+from snapledger.sources import gates
 from snapledger.sources.html_elements import html_elements
 from snapledger.sources.html_text import html_to_lines, html_unescape
-from snapledger.sources.payloads import _kind
+from snapledger.sources.payloads import _kind, read_snapshot_records
 from snapledger.staging import stage
 
 KEYS = ["run_id", "company_source_id", "page_no", "requested_url"]
@@ -67,11 +68,25 @@ def _items(pages: DataFrame, doc: Column, keep: list[str]) -> DataFrame:
     return listed.select(*keep, F.posexplode("_items").alias("position", "_item"))
 
 
-def shape_lever(raw: DataFrame) -> Shaped:
-    """JSON array pages with nested categories and millisecond dates."""
-    pages = raw.where("kind = 'listing'").withColumn("_doc", F.try_parse_json("body"))
-    items = _items(pages, F.col("_doc"), KEYS)
+#: Fixed value: items per page of this family.
+LEVER_PAGE_SIZE = 100
+
+
+def shape_lever(raw: DataFrame, page_size: int = LEVER_PAGE_SIZE) -> Shaped:
+    """JSON array pages with nested categories and millisecond dates.
+
+    A run is complete with its first page of fewer than ``page_size`` items; pages behind that one are not read. An
+    id listed again counts once, where it comes first.
+    """
+    parsed = raw.where("kind = 'listing'").withColumn("_doc", F.try_parse_json("body"))
     i = "_item"
+    listed = _items(parsed, F.col("_doc"), KEYS).withColumn("item_id", _stripped(i, "id"))
+    sizes = parsed.where(_kind(F.col("_doc")) == "ARRAY").select(
+        "run_id", "page_no", F.size(F.try_variant_get("_doc", "$", "array<variant>")).alias("n_items")
+    )
+    found, incomplete = gates.short_page_ends(sizes, listed, page_size)
+    ends = stage(found, "run-ends")
+    pages, items = gates.until_end(parsed, ends), gates.until_end(listed, ends)
     text_fields = (
         "hostedUrl", "text", "country", "workplaceType", "descriptionPlain", "additionalPlain",
         "salaryDescription", "categories.location", "categories.commitment",
@@ -90,7 +105,8 @@ def shape_lever(raw: DataFrame) -> Shaped:
     )
     # Workplace words of this family.
     words = F.create_map(*[F.lit(x) for x in ("remote", "remote", "hybrid", "hybrid", "on-site", "onsite", "onsite", "onsite")])
-    records = items.where(error.isNull()).select(
+    once = items.join(gates.first_places(items), ["run_id", "item_id", "page_no", "position"], "left_semi")
+    records = once.where(error.isNull()).select(
         *KEYS, "position",
         *_record(
             "lever", source_job_id=_stripped(i, "id"), source_job_url=_text(i, "hostedUrl"), title=_text(i, "text"),
@@ -105,7 +121,14 @@ def shape_lever(raw: DataFrame) -> Shaped:
         ),
     )
     root = F.when(F.col("_doc").isNull(), F.lit("bad_json")).when(_kind(F.col("_doc")) != "ARRAY", F.lit("root_not_array"))
-    return records, _failures(_failures(pages, root).unionByName(_failures(items, error)), F.col("fetch_error"))
+    broken = _failures(pages, root).unionByName(_failures(items, error))
+    return records, _with_gate(broken, incomplete)
+
+
+def _with_gate(broken: DataFrame, incomplete: DataFrame) -> DataFrame:
+    """One error per run: that of a broken page or item, else that of the page sequence."""
+    found = _failures(broken, F.col("fetch_error"))
+    return found.unionByName(incomplete.join(found, "run_id", "left_anti"))
 
 
 def _first(*values: Column) -> Column:
@@ -113,22 +136,33 @@ def _first(*values: Column) -> Column:
 
 
 def shape_darwinbox(raw: DataFrame) -> Shaped:
-    """Envelope pages; a detail body replaces the fields it carries when the listing has no text."""
+    """Envelope pages; a detail body replaces the fields it carries when the listing has no text.
+
+    A run is complete when it lists as many distinct ids as its pages state (``job_counts``); pages behind that are not read.
+    """
     parsed = raw.withColumn("_doc", F.try_parse_json("body"))
     good = (_kind(F.col("_doc")) == "OBJECT") & (_text("_doc", "status") == "success")
     listing = parsed.where("kind = 'listing'")
     shape_error = (
         F.when(~F.coalesce(good, F.lit(False)), F.lit("bad_envelope"))
-        .when(_kind(_get("_doc", "job_counts")) != "BIGINT", F.lit("bad_total"))
+        .when((_kind(_get("_doc", "job_counts")) != "BIGINT") | (F.try_variant_get("_doc", "$.job_counts", "bigint") < 0), F.lit("bad_total"))
         .when(_kind(_get("_doc", "data")) != "ARRAY", F.lit("bad_data"))
     )
-    items = _items(listing.where(shape_error.isNull()), _get("_doc", "data"), KEYS)
-    ids = items.withColumn("source_job_id", _stripped("_item", "id"))
+    good_pages = listing.where(shape_error.isNull())
+    listed = _items(good_pages, _get("_doc", "data"), KEYS).withColumn("item_id", _stripped("_item", "id"))
+    stated = good_pages.select(
+        "run_id", "page_no", F.size(F.try_variant_get("_doc", "$.data", "array<variant>")).alias("n_items"), F.try_variant_get("_doc", "$.job_counts", "bigint").alias("total")
+    )
+    found, incomplete = gates.stated_total_ends(stated, listed)
+    ends = stage(found, "run-ends")
+    listing, items = gates.until_end(listing, ends), gates.until_end(listed, ends)
+    ids = items.join(gates.first_places(items), ["run_id", "item_id", "page_no", "position"], "left_semi").unionByName(items.where("item_id IS NULL"))
+    ids = ids.withColumnRenamed("item_id", "source_job_id")
     detail = (
         parsed.where("kind = 'detail'").where(good)
-        .select("run_id", F.try_variant_get("_doc", "$.message.job[0]", "variant").alias("_detail"))
+        .select("run_id", "page_no", F.try_variant_get("_doc", "$.message.job[0]", "variant").alias("_detail"))
         .withColumn("source_job_id", _stripped("_detail", "id"))
-        .groupBy("run_id", "source_job_id").agg(F.any_value("_detail").alias("_detail"))
+        .groupBy("run_id", "source_job_id").agg(F.min_by("_detail", F.struct("page_no", F.to_json("_detail"))).alias("_detail"))
     )
     wanted = ids.join(detail, ["run_id", "source_job_id"], "left")
     i, d = "_item", "_detail"
@@ -167,7 +201,7 @@ def shape_darwinbox(raw: DataFrame) -> Shaped:
             job_function=_first(both("department_name_only"), both("department_name"), both("department")),
         ),
     )
-    return records, _failures(_failures(listing, shape_error).unionByName(_failures(wanted, error)), F.col("fetch_error"))
+    return records, _with_gate(_failures(listing, shape_error).unionByName(_failures(wanted, error)), incomplete)
 
 
 def _input_json(elements: DataFrame, name: str) -> DataFrame:
@@ -286,7 +320,9 @@ def shape_jazzhr(raw: DataFrame) -> Shaped:
     )
     dk = ["run_id", "source_job_id"]
     i = "posting"
-    found = jsonld_postings(asked, dk, "body")
+    scripts = stage(html_elements(asked, dk, "body", ("script",)), "scripts")
+    found = postings_of(scripts, dk)
+    malformed = broken_jsonld(scripts, dk).select("run_id", F.lit("malformed_jsonld").alias("fetch_error"))
     own = with_segments(with_parts(found.withColumn("_u", _text(i, "url")), "_u", prefix), prefix).select(
         *dk, i, apply_job_id(p).alias("_answered"), F.concat(F.lit("https://"), p.host, F.regexp_replace(p.col("path"), r"/+\z", "")).alias("_schema_url"),
     )
@@ -349,7 +385,7 @@ def shape_jazzhr(raw: DataFrame) -> Shaped:
         *KEYS, "position",
         *_record("jazzhr", source_job_id=F.col("source_job_id"), source_job_url=F.coalesce("_detail_url", "_job_url"), title=F.col("_title"), **{n: F.col(n) for n in names}),
     )
-    return records, _failures(joined, error)
+    return records, _failures(_failures(joined, error).unionByName(malformed), F.col("fetch_error"))
 
 
 def shape_dreamjobs(raw: DataFrame) -> Shaped:
@@ -482,6 +518,30 @@ def shape_job_criteria(details: DataFrame, keys: list[str], html: str = "body")
     return details.select(*keys).join(criteria, keys, "left").join(text, keys, "left")
 
 
+def shape_generic(raw: DataFrame) -> Shaped:
+    """Any careers site: links that look like postings, with the landed details of each laid over.
+
+    A link listed on several pages counts once, where it comes first. Every continuation page must add a link.
+    """
+    listing = raw.where("kind = 'listing'").select(*KEYS, F.col("requested_url").alias("url"), F.col("body").alias("html"))
+    fetched = raw.where("kind = 'detail'").groupBy("run_id", F.col("requested_url").alias("url")).agg(F.min_by("body", F.struct("page_no", "body")).alias("html"))
+    details = detail_metadata(fetched, ["run_id", "url"]).withColumn("has_detail", F.lit(True))
+    found = stage(generic_records(listing, details, KEYS).withColumnRenamed("source_job_id", "item_id"), "generic-links")
+    firsts = stage(gates.first_places(found), "first-places")
+    progress = gates.page_progress(listing.select("run_id", "page_no").distinct(), firsts)
+    stalled = progress.where((F.col("seen_before") > 0) & (F.col("new_ids") == 0)).select("run_id", F.lit("no_new_jobs").alias("fetch_error")).distinct()
+    once = found.join(firsts, ["run_id", "item_id", "page_no", "position"], "left_semi")
+    names = [n for n in RECORD_FIELDS if n not in ("source", "source_job_id")]
+    return once.select(*KEYS, "position", *_record("generic", source_job_id=F.col("item_id"), **{n: F.col(n) for n in names if n in once.columns})), stalled
+
+
+def shape_fixture(raw: DataFrame) -> Shaped:
+    """Bodies that are arrays of source-neutral records; their fields are taken as they are."""
+    records, verdicts = read_snapshot_records(raw.where("kind = 'listing'"), KEYS)
+    parsed = parse_records(records.withColumnRenamed("record_index", "position"))
+    return parsed.select(*KEYS, F.col("position").cast("int").alias("position"), *RECORD_FIELDS, "type_error"), _failures(verdicts, F.col("fetch_error"))
+
+
 # Payload family of each source key.
 SHAPERS: dict[str, Callable[[DataFrame], Shaped]] = {
     "lever": shape_lever,
@@ -489,6 +549,9 @@ SHAPERS: dict[str, Callable[[DataFrame], Shaped]] = {
     "zoho_recruit": shape_zoho,
     "jazzhr": shape_jazzhr,
     "dreamjobs": shape_dreamjobs,
+    "generic": shape_generic,
+    "fixture": shape_fixture,
+    "linkedin": shape_job_cards,
 }
 
 
