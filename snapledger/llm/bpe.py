@@ -6,15 +6,15 @@ rank order, the merge (a, b) looks from the end of ``a`` over ``b`` and over wha
 pretoken byte by byte, keeps for every end position the one token that can end there, and emits a token
 once its end lies ``lookahead`` bytes back. It holds a window of bounded size, however long a pretoken is.
 
-Texts are cut at single spaces between non-blank characters, where a pretoken always begins, so equal
-pieces have equal ids; a bounded table per worker remembers those of short pieces.
+Texts are cut at single spaces between non-blank characters, where a pretoken always begins, so equal pieces have equal
+ids; a bounded table per worker remembers those of short pieces (``pieces.py``). Decoding gathers the bytes of a run of ids
+at once and passes them through an incremental UTF-8 state machine.
 """
 
 from __future__ import annotations
 
 import codecs
 import json
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -24,14 +24,12 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from snapledger.llm.common import table
+from snapledger.llm.pieces import PieceTable, gather, slices
 from snapledger.llm.registry import query
 
 #: Fixed value: the pretoken pattern of the byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Code points with the Unicode property White_Space.
-WHITE = frozenset("\t\n\x0b\x0c\r \x85\xa0     　" + "".join(map(chr, range(0x2000, 0x200B))))
 ONLY_BYTES = (3, 2, 1)
-RARE_WHITE = re.compile("[" + "".join(sorted(WHITE - {" ", "\n"})) + "]")
 MAX_PIECE, MAX_PIECES, MAX_PAIRS = 64, 300_000, 300_000
 
 
@@ -80,7 +78,10 @@ class Bpe:
         self.pattern = regex.compile(PATTERN)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self._pairs: dict[tuple[int, int], bool] = {}
-        self._pieces: dict[str, bytes] = {}
+        self.pieces = PieceTable(lambda new: list(map(self._piece, new)))
+        tokens = [self.bytes_of.get(i, b"") for i in range(max(self.bytes_of) + 1)]
+        self._sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        self._starts, self._raw = np.cumsum(self._sizes) - self._sizes, np.frombuffer(b"".join(tokens), np.uint8)
         self._tokens: dict[bytes, tuple[int, ...]] = {}
 
     def stays(self, left: int, right: int) -> bool:
@@ -170,50 +171,19 @@ class Bpe:
                 out.extend(self._plain(part))
         return np.asarray(out, "<u4").tobytes()
 
-    def _known(self, text: str) -> bytes:
-        found = self._pieces.get(text)
-        if found is None:
-            found = self._piece(text)
-            if len(text) <= MAX_PIECE:
-                if len(self._pieces) >= MAX_PIECES:
-                    self._pieces.clear()
-                self._pieces[text] = found
-        return found
-
     def encode(self, text: str | None) -> bytes:
         """All ids of a text as little-endian unsigned 32-bit integers."""
-        return b"".join(self.encode_stream(text))
-
-    def encode_stream(self, text: str | None) -> Iterator[bytes]:
-        for piece in pieces_of(text or ""):
-            yield self._known(piece)
+        return self.pieces.encode(pa.array([text], pa.string()))[0].tobytes()
 
     def decode_stream(self, ids: np.ndarray) -> Iterator[str]:
         """Text of ids: bytes go through an incremental UTF-8 state machine, so any cut will do."""
         state = codecs.getincrementaldecoder("utf-8")("replace")
-        get = self.bytes_of.__getitem__
         for k in range(0, len(ids), 4096):
-            yield state.decode(b"".join(map(get, ids[k : k + 4096].tolist())))
+            part = ids[k : k + 4096]
+            yield state.decode(gather(self._raw, self._starts[part], self._sizes[part]).tobytes())
         yield state.decode(b"", final=True)
 
 
-def pieces_of(text: str) -> list[str]:
-    """Cut a text before every single space between two non-blank characters."""
-    parts = text.split(" ")
-    if "  " not in text and "\n " not in text and " \n" not in text and text[:1] not in WHITE and text[-1:] not in WHITE and not RARE_WHITE.search(text):
-        return [parts[0], *map(" ".__add__, parts[1:])]
-    out, open_ = [], [parts[0]]
-    for part in parts[1:]:
-        last = open_[-1]
-        if last and last[-1] not in WHITE and part and part[0] not in WHITE:
-            out.append(" ".join(open_) if len(out) == 0 else " " + " ".join(open_))
-            open_ = [part]
-        else:
-            open_.append(part)
-    out.append(" ".join(open_) if len(out) == 0 else " " + " ".join(open_))
-    return [p for p in out if p]
-
-
 @lru_cache(maxsize=2)
 def bpe(path: str) -> Bpe:
     """One encoder per Python worker."""
@@ -240,11 +210,13 @@ def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = bpe(path)
         for big in batches:
-            for at in range(0, big.num_rows, 64):
-                batch = big.slice(at, 64)
-                ids = [coder.encode(t) for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
-                decoded = ["".join(coder.decode_stream(np.frombuffer(x, "<u4"))) for x in ids]
-                extra = [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(decoded, pa.string())]
+            texts = big.column(big.schema.get_field_index("text"))
+            for at, to in slices(texts):
+                batch = big.slice(at, to - at)
+                ids, ends = coder.pieces.encode(texts.slice(at, to - at))
+                decoded = ["".join(coder.decode_stream(ids[s:e])) for s, e in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+                raw = pa.Array.from_buffers(pa.large_binary(), len(decoded), [None, pa.py_buffer(4 * ends), pa.py_buffer(ids.astype("<u4"))])
+                extra = [pa.array(np.diff(ends), pa.int64()), raw.cast(pa.binary()), pa.array(decoded, pa.string())]
                 yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=[*batch.schema.names, *added])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema)

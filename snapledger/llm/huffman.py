@@ -22,63 +22,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snapledger.llm.bpe import WHITE, pieces_of, vocabulary
+from snapledger.llm.bpe import vocabulary
 from snapledger.llm.common import stage, table
+from snapledger.llm.pieces import LibraryPieces, slices
 from snapledger.llm.registry import query
 from snapledger.staging import staging_dir
 
 MAX_BITS, SEGMENT, END_ID = 18, 512, 0
-MAX_PIECE, MAX_PIECES, BATCH, DECODE_BATCH = 64, 400_000, 64, 1024
-
-
-class LibraryCoder:
-    """The tokenizers library behind a bounded table of short pieces (texts are cut where pretokens begin)."""
-
-    def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.known: dict[str, bytes] = {}
-        special = {i: len(t.content.encode()) for i, t in self.tokenizer.get_added_tokens_decoder().items()}
-        sizes = {i: len(t) for t, i in self.tokenizer.get_vocab().items()} | special  # a letter of a token is a byte
-        self.sizes = np.array([sizes.get(i, 0) for i in range(max(sizes) + 1)], np.int64)
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        known, cut = self.known, [pieces_of(t or "") for t in texts]
-        every = set().union(*cut)
-        new = every.difference(known)
-        if len(known) + len(new) > MAX_PIECES:
-            known.clear()
-            new = every
-        self._learn(list(new))
-        out = [b"".join(map(known.__getitem__, pieces)) for pieces in cut]
-        for piece in new:
-            if len(piece) > MAX_PIECE:
-                del known[piece]
-        return out
-
-    def _learn(self, new: list[str]) -> None:
-        """Encode pieces. Those that begin with a space and a non-blank and end with a non-blank stand side by
-        side in one text, since pretokens begin there anyway, and are told apart by their bytes."""
-        plain = [p for p in new if p[:1] == " " and len(p) > 1 and p[1] not in WHITE and p[-1] not in WHITE]
-        other = [p for p in new if not (p[:1] == " " and len(p) > 1 and p[1] not in WHITE and p[-1] not in WHITE)]
-        for piece, found in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False), strict=True):
-            self.known[piece] = np.asarray(found.ids, "<u4").tobytes()
-        if plain:
-            ids = np.asarray(self.tokenizer.encode_batch_fast(["".join(plain)], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.cumsum([len(p.encode()) for p in plain])
-            cuts = np.searchsorted(np.cumsum(self.sizes[ids]), ends) + 1
-            raw, at = ids.tobytes(), 0
-            for piece, cut in zip(plain, (4 * cuts).tolist(), strict=True):
-                self.known[piece] = raw[at:cut]
-                at = cut
+BATCH, DECODE_BATCH = 64, 1024
 
 
 @lru_cache(maxsize=2)
-def library_coder(path: str) -> LibraryCoder:
-    return LibraryCoder(path)
+def library_coder(path: str) -> LibraryPieces:
+    return LibraryPieces(path)
 
 
 def code_lengths(counts: np.ndarray, limit: int = MAX_BITS) -> np.ndarray:
@@ -180,12 +136,14 @@ def token_rows(docs: DataFrame, path: str) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = library_coder(path)
-        kind = id_type(coder.tokenizer.get_vocab_size())
+        kind = np.dtype(id_type(coder.tokenizer.get_vocab_size()))
         for big in batches:
-            for at in range(0, big.num_rows, BATCH):
-                batch = big.slice(at, BATCH)
-                ids = [np.append(np.frombuffer(x, "<u4"), END_ID).astype(kind).tobytes() for x in coder.encode(batch.column(1).to_pylist())]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+            for at, to in slices(big.column(1)):
+                ids, ends = coder.encode(big.column(1).slice(at, to - at))
+                ids = np.insert(ids, ends[1:], END_ID).astype(kind)
+                offsets = kind.itemsize * (ends + np.arange(len(ends)))
+                raw = pa.Array.from_buffers(pa.large_binary(), to - at, [None, pa.py_buffer(offsets), pa.py_buffer(ids)])
+                yield pa.RecordBatch.from_arrays([big.column(0).slice(at, to - at), raw.cast(pa.binary())], names=["doc_id", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(work, "doc_id bigint, ids binary")
 
