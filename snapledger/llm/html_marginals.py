@@ -28,7 +28,9 @@ from snapledger.llm.registry import query
 TRAIN_PAGES = 400
 #: Element names of HTML that matter here.
 BLOCKS = set("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
-RAW = set("script style textarea title noscript template iframe object svg math select button head".split())
+RAW = set("script style textarea title template iframe head".split())
+#: Controls inside a block: their text is left out, up to their end tag or the next block tag at the latest.
+CONTROLS = {"button", "select"}
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 SELF_CLOSING = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 ENDS_P = BLOCKS - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot"}
@@ -54,6 +56,7 @@ class Page:
         self.open = [0]
         self.parts: list[str] = []
         self.links = self.in_link = 0
+        self.control = ""
         self._read(source)
         self._close_text()
 
@@ -72,7 +75,7 @@ class Page:
         self.parts, self.links = [], 0
 
     def _say(self, raw: str) -> None:
-        if raw:
+        if raw and not self.control:
             text = html.unescape(raw)
             self.parts.append(text)
             if self.in_link:
@@ -95,13 +98,16 @@ class Page:
                 at = end.end() if end else (at if tag == "head" else len(source))
                 self.parts.append(" ")
                 continue
-            if tag == "a":
+            if tag in CONTROLS:
+                self.control = "" if closing else tag
+                self.parts.append(" ")
+            elif tag == "a":
                 self.in_link = 0 if closing else 1
             elif tag == "br":
                 self.parts.append(" ")
             elif tag in BLOCKS:
                 self._close_text()
-                self.in_link = 0
+                self.in_link, self.control = 0, ""
                 if closing:
                     self._pop({tag}, BLOCKS - {tag} if tag == "p" else {"#root"})
                     continue
