@@ -32,7 +32,7 @@ from snapledger.llm.registry import query
 #: The sentencepiece stand-in for a space.
 MARK = "▁"
 #: Stretches per tokenizer and windows remembered per worker, and bytes of the longest window that is.
-MOST_PIECES, MOST_WINDOWS, LONGEST_WINDOW = 200_000, 200_000, 256
+MOST_PIECES, MOST_WINDOWS, LONGEST_WINDOW = 120_000, 120_000, 256
 
 
 class Side:
@@ -213,7 +213,7 @@ def _groups(docs: DataFrame, a_path: str, b_path: str, keep_groups: bool) -> Dat
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabularies(a_path, b_path)
         for big in batches:
-            for at, to in slices(big.column(1)):
+            for at, to in slices(big.column(1), 1 << 20):
                 n_a, n_b, n_groups, groups, pairs = _aligned(big.column(1).slice(at, to - at), v)
                 digests = [hashlib.sha256(g.encode()).hexdigest() if g else "" for g in groups]
                 offsets = pa.array(np.concatenate([[0], np.cumsum(n_groups)]), pa.int32())
