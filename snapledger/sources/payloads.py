@@ -2,30 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def read_bodies(spark: SparkSession, path: str) -> DataFrame:
-    """One row per file with its whole text, however large the folder."""
-    return spark.read.text(path, wholetext=True).select(
-        F.col("_metadata.file_path").alias("batch"), F.col("value").alias("body")
-    )
-
-
 def _kind(value: Column) -> Column:
     return F.coalesce(F.regexp_extract(F.schema_of_variant(value), r"\A([A-Z]+)", 1), F.lit("VOID"))
 
 
+_STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
+
+
+def whole_json(body: Column, schema: str) -> tuple[Column, Column]:
+    """(value of ``schema``, whether the body is one JSON value with nothing behind it).
+
+    A body may be far larger than a variant can be: only what ``schema`` says becomes variants, so in ``array<variant>``
+    the limit is that of one item. The body is read as a member between two others; text behind it breaks that object.
+    """
+    framed = F.concat(F.lit('{"a":'), body, F.lit(',"z":1}'))
+    parsed = F.from_json(framed, f"a {schema}, z int", _STRICT)
+    whole = (parsed["z"] == 1) & (F.json_object_keys(framed) == F.array(F.lit("a"), F.lit("z")))
+    whole = F.coalesce(whole, F.lit(False))
+    return F.when(whole, parsed["a"]), whole
+
+
+def json_array(body: Column) -> tuple[Column, Column]:
+    """(items of an array body, error): ``bad_json`` or ``root_not_array`` where there are no items."""
+    items, whole = whole_json(body, "array<variant>")
+    opens = F.ltrim(F.translate(body, "\t\r\n", "   ")).startswith("[")
+    return items, F.when(~whole | (items.isNull() & opens), F.lit("bad_json")).when(items.isNull(), F.lit("root_not_array"))
+
+
 def read_snapshot_records(bodies: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     """(records, verdicts): a JSON array of objects per body; anything else fails the whole body."""
-    parsed = bodies.withColumn("_doc", F.try_parse_json("body"))
-    items = F.try_variant_get("_doc", "$", "array<variant>")
-    staged = parsed.withColumn("_items", items).withColumn(
-        "fetch_error",
-        F.when(F.col("_doc").isNull(), F.lit("bad_json"))
-        .when(_kind(F.col("_doc")) != "ARRAY", F.lit("root_not_array"))
-        .when(F.exists("_items", lambda v: _kind(v) != "OBJECT"), F.lit("item_not_object")),
+    items, error = json_array(F.col("body"))
+    staged = bodies.withColumn("_items", items).withColumn(
+        "fetch_error", F.coalesce(error, F.when(F.exists("_items", lambda v: _kind(v) != "OBJECT"), F.lit("item_not_object")))
     )
     records = staged.where(F.col("fetch_error").isNull()).select(*keys, F.posexplode("_items").alias("_at", "_item")).select(
         *keys, F.col("_at").cast("bigint").alias("record_index"), F.to_json("_item").alias("payload")

@@ -20,7 +20,7 @@ from snapledger.operators.validate import RECORD_FIELDS, parse_records
 from snapledger.sources import gates
 from snapledger.sources.html_elements import html_elements
 from snapledger.sources.html_text import html_to_lines, html_unescape
-from snapledger.sources.payloads import _kind, read_snapshot_records
+from snapledger.sources.payloads import _kind, json_array, read_snapshot_records, whole_json
 from snapledger.staging import stage
 
 KEYS = ["run_id", "company_source_id", "page_no", "requested_url"]
@@ -78,12 +78,11 @@ def shape_lever(raw: DataFrame, page_size: int = LEVER_PAGE_SIZE) -> Shaped:
     A run is complete with its first page of fewer than ``page_size`` items; pages behind that one are not read. An
     id listed again counts once, where it comes first.
     """
-    parsed = raw.where("kind = 'listing'").withColumn("_doc", F.try_parse_json("body"))
+    found, root = json_array(F.col("body"))
+    parsed = raw.where("kind = 'listing'").withColumns({"_items": found, "_root": root})
     i = "_item"
-    listed = _items(parsed, F.col("_doc"), KEYS).withColumn("item_id", _stripped(i, "id"))
-    sizes = parsed.where(_kind(F.col("_doc")) == "ARRAY").select(
-        "run_id", "page_no", F.size(F.try_variant_get("_doc", "$", "array<variant>")).alias("n_items")
-    )
+    listed = parsed.select(*KEYS, F.posexplode("_items").alias("position", i)).withColumn("item_id", _stripped(i, "id"))
+    sizes = parsed.where("_items IS NOT NULL").select("run_id", "page_no", F.size("_items").alias("n_items"))
     found, incomplete = gates.short_page_ends(sizes, listed, page_size)
     ends = stage(found, "run-ends")
     pages, items = gates.until_end(parsed, ends), gates.until_end(listed, ends)
@@ -120,8 +119,7 @@ def shape_lever(raw: DataFrame, page_size: int = LEVER_PAGE_SIZE) -> Shaped:
             ),
         ),
     )
-    root = F.when(F.col("_doc").isNull(), F.lit("bad_json")).when(_kind(F.col("_doc")) != "ARRAY", F.lit("root_not_array"))
-    broken = _failures(pages, root).unionByName(_failures(items, error))
+    broken = _failures(pages, F.col("_root")).unionByName(_failures(items, error))
     return records, _with_gate(broken, incomplete)
 
 
@@ -140,26 +138,27 @@ def shape_darwinbox(raw: DataFrame) -> Shaped:
 
     A run is complete when it lists as many distinct ids as its pages state (``job_counts``); pages behind that are not read.
     """
-    parsed = raw.withColumn("_doc", F.try_parse_json("body"))
-    good = (_kind(F.col("_doc")) == "OBJECT") & (_text("_doc", "status") == "success")
-    listing = parsed.where("kind = 'listing'")
+    envelope, _whole = whole_json(F.col("body"), "struct<status: variant, job_counts: variant, data: array<variant>>")
+    listing = raw.where("kind = 'listing'").withColumn("_doc", envelope)
+    total = F.try_variant_get("_doc.job_counts", "$", "bigint")
+    success = F.try_variant_get("_doc.status", "$", "string") == "success"
     shape_error = (
-        F.when(~F.coalesce(good, F.lit(False)), F.lit("bad_envelope"))
-        .when((_kind(_get("_doc", "job_counts")) != "BIGINT") | (F.try_variant_get("_doc", "$.job_counts", "bigint") < 0), F.lit("bad_total"))
-        .when(_kind(_get("_doc", "data")) != "ARRAY", F.lit("bad_data"))
+        F.when(~F.coalesce(success, F.lit(False)), F.lit("bad_envelope"))
+        .when((_kind(F.col("_doc.job_counts")) != "BIGINT") | (total < 0), F.lit("bad_total"))
+        .when(F.col("_doc.data").isNull(), F.lit("bad_data"))
     )
     good_pages = listing.where(shape_error.isNull())
-    listed = _items(good_pages, _get("_doc", "data"), KEYS).withColumn("item_id", _stripped("_item", "id"))
-    stated = good_pages.select(
-        "run_id", "page_no", F.size(F.try_variant_get("_doc", "$.data", "array<variant>")).alias("n_items"), F.try_variant_get("_doc", "$.job_counts", "bigint").alias("total")
-    )
+    listed = good_pages.select(*KEYS, F.posexplode("_doc.data").alias("position", "_item")).withColumn("item_id", _stripped("_item", "id"))
+    stated = good_pages.select("run_id", "page_no", F.size("_doc.data").alias("n_items"), total.alias("total"))
+    parsed = raw.where("kind = 'detail'").withColumn("_doc", F.try_parse_json("body"))
+    good = (_kind(F.col("_doc")) == "OBJECT") & (_text("_doc", "status") == "success")
     found, incomplete = gates.stated_total_ends(stated, listed)
     ends = stage(found, "run-ends")
     listing, items = gates.until_end(listing, ends), gates.until_end(listed, ends)
     ids = items.join(gates.first_places(items), ["run_id", "item_id", "page_no", "position"], "left_semi").unionByName(items.where("item_id IS NULL"))
     ids = ids.withColumnRenamed("item_id", "source_job_id")
     detail = (
-        parsed.where("kind = 'detail'").where(good)
+        parsed.where(good)
         .select("run_id", "page_no", F.try_variant_get("_doc", "$.message.job[0]", "variant").alias("_detail"))
         .withColumn("source_job_id", _stripped("_detail", "id"))
         .groupBy("run_id", "source_job_id").agg(F.min_by("_detail", F.struct("page_no", F.to_json("_detail"))).alias("_detail"))

@@ -97,3 +97,26 @@ def test_incomplete_runs_age_nothing(spark):
     assert state == {"a": ("active", 0), "b": ("active", 1), "c": ("active", 1), "x": ("active", 0), "y": ("active", 0)}
     assert {r.id: r.status for r in out.runs.collect()} == {
         10: "success", 11: "failed", 12: "failed", 13: "failed", 14: "success", 20: "success", 21: "failed", 22: "partial", 30: "failed"}
+
+
+def test_bodies_of_any_size_and_broken_tails(spark):
+    from pyspark.sql import functions as F
+
+    from snapledger.sources.payloads import read_snapshot_records
+
+    whole = ['[{"a":1},{"a":"x"}]', "  [ ] ", '\n[{"a":{"b":[1,2]}}]\n']
+    bad = ["[1] [2]", "[1]}", '[1],"b":2', '[{"a":1},', "", '[{"a":1}] x', "[{'a':1}]", "[NaN]", "[01]", "[1,2}", '[1],"a":[2]', '[1]],"z":[1', None]
+    other = ['{"a":1}', "null", "5", '"x"']
+    bodies = spark.createDataFrame(list(enumerate([*whole, *bad, *other, '[{"a":1},7]'])), "n int, body string")
+    got = {r.n: r.fetch_error for r in read_snapshot_records(bodies, ["n"])[1].collect()}
+    assert list(got.values()) == [None] * 3 + ["bad_json"] * len(bad) + ["root_not_array"] * 4 + ["item_not_object"]
+    # 160 MB in one body: more than one variant may hold.
+    item = F.concat(F.lit('{"id":"'), F.col("i").cast("string"), F.lit('","text":"' + "x" * 2000 + '"}'))
+    large = spark.range(80_000).select(F.col("id").alias("i")).agg(F.array_join(F.collect_list(item), ",").alias("items"))
+    large = large.select(F.explode(F.array(F.lit(1), F.lit(2))).alias("run_id"), "items").select(
+        "run_id", F.col("run_id").alias("company_source_id"), F.lit(0).alias("page_no"), F.lit("listing").alias("kind"), F.lit(LEVER).alias("requested_url"),
+        F.concat(F.lit("["), "items", F.when(F.col("run_id") == 1, F.lit("]")).otherwise(F.lit(",{"))).alias("body"),
+    )
+    records, errors = sh.shape_lever(large, page_size=100_000)
+    assert {(r.run_id, r["count"]) for r in records.groupBy("run_id").count().collect()} == {(1, 80_000)}
+    assert [tuple(r) for r in errors.collect()] == [(2, "bad_json")]
