@@ -343,9 +343,9 @@ def test_quality_keeps_good_documents_outside_a_small_target(spark, small):
 def test_held_out_scores_equal_a_target_without_the_document(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     docs = docs.union(docs.filter("doc_id % 7 = 0"))  # repeated rows are left out together
-    trusted = quality.trusted_ids(spark.read.parquet(f"{small}/labels.parquet")).localCheckpoint()
+    trusted = quality.trusted_ids(spark.read.parquet(f"{small}/labels.parquet"))
     _, raw, good = quality.bucket_weights(docs, trusted, 1 << 12)
-    scores = {r["doc_id"]: r["score"] for r in quality.held_out_scores(docs, trusted, raw, good).collect()}
+    scores = {r["doc_id"]: r["score"] for r in quality.held_out_scores(docs, trusted, raw, good).collect() if r["score"] is not None}
     for d in [min(d for d in scores if d % 7 == 0), min(d for d in scores if d % 7)]:
         weights, *_ = quality.bucket_weights(docs, trusted.filter(F.col("doc_id") != d), 1 << 12)
         row = docs.filter(F.col("doc_id") == d).select(quality.mean_weight(quality.words_of(F.col("text")), weights).alias("s")).first()
