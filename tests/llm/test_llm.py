@@ -121,6 +121,35 @@ def test_top_k_equals_brute_force(spark):
     assert mtree.top_k(empty).count() == 0
 
 
+def brute_top_k(rows, k=10):
+    """(query_id, rank, vec_id, score) over rows with positions as their identity, the shorter vector continued with zeros."""
+    ints = [(i, key, [int(np.floor(1024 * x)) for x in v]) for i, (key, v) in enumerate(rows)]
+    ints = [r for r in ints if sum(x * x for x in r[2]) < 2**62]
+    want = []
+    for n, q, u in ints:
+        if q % 100 == 0:
+            best = sorted((-sum(a * b for a, b in zip(u, v, strict=False)), key) for m, key, v in ints if m != n)[:k]
+            want += [(q, r + 1, key, -s) for r, (s, key) in enumerate(best)]
+    return sorted(want)
+
+
+def test_top_k_of_repeated_ids_mixed_lengths_and_large_components(spark):
+    draw = random.Random(5)
+    rows = [(k % 450, [draw.gauss(0, 1) for _ in range(draw.choice([0, 3, 8]))]) for k in range(600)]
+    rows += [(900, [1e8, 0.0]), (901, [1e30]), (902, [-1e30, 5.0]), (1000, [2e5, -1e5, 3.0]), (1001, [2e5, 1e5])]
+    got = mtree.top_k(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), cell_rows=40, query_block=2).collect()
+    assert sorted(tuple(r) for r in got) == brute_top_k(rows)
+
+
+def test_top_k_splits_a_cell_of_equal_vectors(spark):
+    draw = random.Random(6)
+    rows = [(k, [0.5, -0.25, 0.125]) for k in range(1500)]
+    rows += [(k, [draw.random() - 0.5 for _ in range(3)]) for k in range(1500, 2200)]
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = mtree.top_k(frame, cell_rows=200, shard_bytes=1, query_block=3).collect()
+    assert sorted(tuple(r) for r in got) == brute_top_k(rows)
+
+
 # --- op3 ---
 
 RULES = {
