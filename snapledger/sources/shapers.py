@@ -18,7 +18,7 @@ from snapledger.operators.pages import broken_jsonld, detail_metadata, generic_r
 from snapledger.operators.platforms import Parts, apply_job_id, card_job_id, with_segments
 from snapledger.operators.validate import RECORD_FIELDS, parse_records
 from snapledger.sources import gates
-from snapledger.sources.html_elements import html_elements
+from snapledger.sources.html_elements import Want, html_elements, under
 from snapledger.sources.html_text import html_to_lines, html_unescape
 from snapledger.sources.payloads import _kind, json_array, read_snapshot_records, whole_json
 from snapledger.staging import stage
@@ -203,6 +203,12 @@ def shape_darwinbox(raw: DataFrame) -> Shaped:
     return records, _with_gate(_failures(listing, shape_error).unionByName(_failures(wanted, error)), incomplete)
 
 
+def _has_mark(token: str) -> Column:
+    """An element's class, id or role holds the token."""
+    marks = F.concat_ws(" ", *(F.coalesce(F.col("attrs")[name], F.lit("")) for name in ("class", "id", "role")))
+    return F.concat(F.lit(" "), marks, F.lit(" ")).contains(f" {token} ")
+
+
 def _input_json(elements: DataFrame, name: str) -> DataFrame:
     """JSON of the only input with the given id; pages with none or several get null."""
     value = F.when(F.col("attrs")["id"] == name, F.col("attrs")["value"])
@@ -214,7 +220,7 @@ def _input_json(elements: DataFrame, name: str) -> DataFrame:
 def shape_zoho(raw: DataFrame, cap: int = 750) -> Shaped:
     """Jobs JSON embedded in hidden inputs of one page, accepted only under the page contract."""
     pages = raw.where("kind = 'listing'")
-    elements = stage(html_elements(pages, KEYS, "body"), "elements")
+    elements = stage(html_elements(pages, KEYS, "body", texts=("a",), peer_chars=0, chain=False), "elements")
     attrs = F.col("attrs")
     names = ("jobs", "meta", "pageJson", "moduleMeta")
     value = lambda n: F.when((F.col("tag") == "input") & (attrs["id"] == n), attrs["value"])
@@ -350,8 +356,11 @@ def shape_jazzhr(raw: DataFrame) -> Shaped:
         ), "_html", "description",
     ).drop("_html")
 
-    nodes = html_elements(asked, dk, "body")
-    has = lambda token: F.exists("chain", lambda n: F.concat(F.lit(" "), n["attrs"], F.lit(" ")).contains(f" {token} "))
+    told = Want(frozenset(("h2",)), {"id": "resumator-job-|job-description", "class": "location"})
+    read = html_elements(asked, dk, "body", texts=told, peer_chars=0, chain=False)
+    boxes = ("job-header", "job-attributes-container")
+    nodes = under(read, dk, {f"_in_{token}": _has_mark(token) for token in boxes}, own=True)
+    has = lambda token: F.col(f"_in_{token}")
     ident = F.col("attrs")["id"]
     said = tx.norm_text(F.col("text"))
     inside = has("job-header") & has("job-attributes-container")
@@ -450,7 +459,12 @@ def shape_dreamjobs(raw: DataFrame) -> Shaped:
 
 def shape_job_cards(raw: DataFrame) -> Shaped:
     """Card listings: id, title, company, location, date and URL of every posting card."""
-    nodes = stage(html_elements(raw.where("kind = 'listing'"), KEYS, "body"), "cards")
+    card_marks = {name: "job-search-card|base-search-card|base-card" for name in ("class", "id", "role")}
+    told = Want(frozenset(("h3", "h4", "span")), {"class": "job-search-card__location"})
+    read = html_elements(
+        raw.where("kind = 'listing'"), KEYS, "body", Want(told.tags | {"a", "time"}, card_marks), texts=told, peer_chars=0, chain=False
+    )
+    nodes = stage(under(read, KEYS, {"_in_card": _has_mark("job-search-card")}, own=True), "cards")
     cls = F.concat(F.lit(" "), F.coalesce(F.col("attrs")["class"], F.lit("")), F.lit(" "))
     is_ = lambda token: cls.contains(f" {token} ")
     cards = nodes.where((F.col("tag") == "div") & is_("job-search-card")).select(
@@ -458,7 +472,7 @@ def shape_job_cards(raw: DataFrame) -> Shaped:
         *[F.col("attrs")[n].alias(f"_{k}") for n, k in (("data-entity-urn", "urn"), ("data-job-id", "jid"), ("data-occludable-job-id", "oid"))],
     )
     # A part belongs to the last card opened before it (cards do not nest).
-    parts = nodes.where(F.exists("chain", lambda n: F.concat(F.lit(" "), n["attrs"], F.lit(" ")).contains(" job-search-card ")))
+    parts = nodes.where("_in_card")
     said = tx.norm_text(F.col("text"))
     href = F.when((F.col("tag") == "a") & is_("base-card__full-link") & F.col("attrs")["href"].contains("/jobs/view/"), F.col("attrs")["href"])
     labelled = parts.select(
@@ -496,7 +510,8 @@ def shape_job_cards(raw: DataFrame) -> Shaped:
 
 def shape_job_criteria(details: DataFrame, keys: list[str], html: str = "body") -> DataFrame:
     """Detail pages: description and the labelled criteria (last value of a label wins)."""
-    nodes = html_elements(details, keys, html)
+    told = Want(attrs={"class": "description__|show-more-less-html__markup", "data-field": None})
+    nodes = html_elements(details, keys, html, told, peer_chars=0, chain=False)
     cls = F.concat(F.lit(" "), F.coalesce(F.col("attrs")["class"], F.lit("")), F.lit(" "))
     is_ = lambda token: cls.contains(f" {token} ")
     said = tx.norm_text(F.col("text"))
