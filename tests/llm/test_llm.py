@@ -14,6 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from snapledger.llm import bpe, cdc, html_marginals, huffman, line_runs, load, mgo_join, mixing, mtree, pii, quality
+from snapledger.llm.common import pair_hash
 
 QUERIES, ORACLES = load()
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, _row string, key string"
@@ -185,6 +186,66 @@ def test_pii_base_spans(spark, tmp_path):
     assert pii.find_pii(odd_docs(spark)).count() == 0
 
 
+def added_spans(spark, texts):
+    """Added spans of every text: (text index, kind, span)."""
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    r1, r2 = pair_hash(F.col("doc_id"), F.col("text"))
+    rows = docs.withColumn("r1", r1).withColumn("r2", r2).join(pii.find_pii(docs), ["r1", "r2"]).collect()
+    return {(r["doc_id"], s["kind"], r["text"][s["start"] : s["end"]]) for r in rows for s in r["spans"] if not s["base"]}
+
+
+def iban(draw):
+    bank = "37040044" + "".join(draw.choice("0123456789") for _ in range(10))
+    return f"DE{98 - int(bank + '131400') % 97:02d}{bank}"
+
+
+def planted(draw, n):
+    """Texts with spans that are personal data, and with look-alikes that are not."""
+    digits = lambda k: "".join(draw.choice("123456789") for _ in range(k))
+    texts, truth = [], set()
+    for i in range(n):
+        phone, ssn = f"{digits(3)}-{digits(3)}-{digits(4)}", f"{draw.randint(100, 600)}-{digits(2)}-{digits(4)}"
+        good = iban(draw)
+        bad = good[:2] + f"{(int(good[2:4]) + draw.randint(1, 90)) % 97:02d}" + good[4:]
+        mail = f"{draw.choice('abc')}{digits(2)} (at) mail{digits(1)} (dot) {draw.choice(('com', 'org'))}"
+        kind, hit, text = draw.choice([
+            ("phone", phone, f"you can call me at {phone} after six"), ("phone", phone, f"phone: {phone}, room 4"),
+            ("ssn", ssn, f"her social security number is {ssn} since then"), ("iban", good, f"pay to account {good} today"),
+            ("email", mail, f"write to {mail} for more"), ("name", "Dr. Anna Holt", f"{digits(2)} notes by Dr. Anna Holt about it"),
+            (None, phone, f"order no. {phone} was shipped"), (None, phone, f"see serial {phone} below"),
+            (None, ssn, f"part of invoice {ssn} from May"), (None, "9" + ssn[1:], f"the ssn 9{ssn[1:]} can't be"),
+            (None, bad, f"pay to account {bad} today"), (None, phone, f"path/x/{phone}/index"),
+        ])
+        texts.append(f"text {i}: {text}")
+        if kind:
+            truth.add((i, kind, hit))
+    return texts, truth
+
+
+def test_pii_added_spans_against_planted_truth(spark):
+    texts, truth = planted(random.Random(8), 400)
+    got = added_spans(spark, texts)
+    assert len(truth) > 150
+    assert len(got & truth) >= 0.9 * len(truth) and len(got & truth) >= 0.9 * len(got)
+
+
+def test_pii_verdicts_do_not_depend_on_unrelated_documents(spark):
+    one = "Please call me at 555-123-4567; my IBAN is DE89370400440532013000 and my SSN is 123-45-6789."
+    other = ["nothing here", "4111 1111 1111 1111, 4111 1111 1111 1112", "a@b.com and 1.2.3.4", "+49 170 1234567", None, ""] * 5
+    want = {("phone", "555-123-4567"), ("iban", "DE89370400440532013000"), ("ssn", "123-45-6789")}
+    for texts in ([one], [one] + other):
+        assert {(kind, hit) for i, kind, hit in added_spans(spark, texts)} == want
+    texts, _ = planted(random.Random(9), 60)
+    alone = added_spans(spark, texts)
+    assert alone and alone == {x for x in added_spans(spark, texts + other) if x[0] < 60}
+
+
+def test_failed_checks_are_never_added(spark):
+    odd = ["IBAN DE89370400440532013001", "ssn 912-45-6789 ssn 123-00-6789", "account GB82 WEST 1234 5698 7654 33"]
+    assert added_spans(spark, odd) == set()
+    assert added_spans(spark, ["account GB82 WEST 1234 5698 7654 32"]) == {(0, "iban", "GB82 WEST 1234 5698 7654 32")}
+
+
 def test_expectation_maximisation_finds_the_poor_labeler():
     draw, rows = random.Random(1), Counter()
     for _ in range(4000):
