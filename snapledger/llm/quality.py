@@ -10,11 +10,10 @@ documents: each one's own n-grams are taken out of the target first, since a doc
 score far above what an equally good document outside the target gets. These scores compare with those of
 unlabelled documents, however few labels there are.
 
-The trusted target is the labelled sample of the corpus, at most ``trusted_rows`` documents (those with
-the smallest id hashes), so that the broadcast list of ids has a proven size. The counts of the raw corpus
-cover every document. Only bucket counts are shuffled; scoring is row-local, with the ``buckets`` weights
-(whole thousandths, so that sums don't depend on their order) as one constant array. The held-out scores are
-row-local too, but for rows that share an id.
+The trusted target is every labelled good document of the corpus, however many there are. The counts of the raw corpus
+cover every document. Bucket counts are shuffled, and the texts of trusted documents where their ids are too many to
+be broadcast; scoring is row-local, with the ``buckets`` weights (whole thousandths, so that sums don't depend on their
+order) as one constant array. The held-out scores are row-local too, but for rows that share an id.
 """
 
 from __future__ import annotations
@@ -27,7 +26,6 @@ from snapledger.llm.registry import query
 
 SYMBOLS = "#*$%&|<>"
 BUCKETS = 1 << 16
-TRUSTED_ROWS = 20_000
 #: The share of trusted documents whose held-out score may lie below the threshold; with fewer than 1 / MISSED of
 #: them the lowest held-out score is the threshold.
 MISSED = 0.001
@@ -109,10 +107,10 @@ def base_counts(text: Column, words: Column) -> dict[str, Column]:
     }
 
 
-def trusted_ids(labels: DataFrame, rows: int = TRUSTED_ROWS) -> DataFrame:
-    """At most ``rows`` ids of documents labelled good and not toxic, the same on every run."""
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """Ids of all documents labelled good and not toxic."""
     good = labels.filter((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0) & F.col("doc_id").isNotNull())
-    return good.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    return good.select("doc_id").distinct()
 
 
 def base_failed(n_words: Column, n_repeat_words: Column) -> Column:
@@ -121,7 +119,7 @@ def base_failed(n_words: Column, n_repeat_words: Column) -> Column:
 
 def bucket_weights(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> tuple[list[int], list[int], list[int]]:
     """Log-likelihood ratio in thousandths, raw count and target count of every bucket, in bucket order: ``buckets`` numbers each."""
-    marked = docs.select("doc_id", "text").join(F.broadcast(trusted.withColumn("trusted", F.lit(1))), "doc_id", "left")
+    marked = docs.select("doc_id", "text").join(trusted.withColumn("trusted", F.lit(1)), "doc_id", "left")
     counts = (
         marked.select("trusted", F.explode(gram_buckets(words_of(F.col("text")), buckets)).alias("bucket"))
         .groupBy("bucket")
@@ -168,37 +166,40 @@ def held_out_scores(docs: DataFrame, trusted: DataFrame, raw: list[int], good: l
         extra = SMOOTHING * total / buckets + 1e-9
         return F.log((count + extra) / (total + buckets * extra))
 
-    def ratio(a: Column, size: Column) -> Column:
+    def ratio(a: Column, size: Column, known: Column) -> Column:
         """What the ``n`` n-grams of a bucket add to the sum of a document of ``size`` n-grams."""
-        target = log_share(F.get(constants(good, "bigint"), a["bucket"]) - a["n"], good_total - size)
-        each = F.round(1000 * (target - log_share(F.get(constants(raw, "bigint"), a["bucket"]), F.lit(raw_total))))
+        target = log_share(F.get(known["good"], a["bucket"]) - a["n"], good_total - size)
+        each = F.round(1000 * (target - log_share(F.get(known["raw"], a["bucket"]), F.lit(raw_total))))
         return F.when(a["n"] > 0, a["n"] * each.cast("bigint")).otherwise(F.lit(0).cast("bigint"))
 
-    def score(grams: Column) -> Column:
+    # Bound once per expression: every copy of these arrays would be kept, and printed, with each plan on the driver.
+    known = F.struct(constants(good, "bigint").alias("good"), constants(raw, "bigint").alias("raw"))
+
+    def score(grams: Column, known: Column) -> Column:
         size = F.size(grams)
 
         def step(a: Column, bucket: Column) -> Column:
             same, one = a["bucket"] == bucket, F.lit(1).cast("bigint")
-            total = F.when(same, a["total"]).otherwise(a["total"] + ratio(a, size))
+            total = F.when(same, a["total"]).otherwise(a["total"] + ratio(a, size, known))
             return F.struct(bucket.alias("bucket"), F.when(same, a["n"] + one).otherwise(one).alias("n"), total.alias("total"))
 
         none = F.lit(0).cast("bigint")
         first = F.struct(F.lit(-1).alias("bucket"), none.alias("n"), none.alias("total"))
-        summed = F.aggregate(grams, first, step, lambda a: (a["total"] + ratio(a, size)) / (1000 * size))
+        summed = F.aggregate(grams, first, step, lambda a: (a["total"] + ratio(a, size, known)) / (1000 * size))
         return F.when(size < good_total, summed)
 
     def passing_grams(ws: Column) -> Column:
         return F.when(~base_failed(F.size(ws), repeated_window_words(ws)), F.sort_array(gram_buckets(ws, buckets)))
 
-    rows = docs.select("doc_id").join(F.broadcast(trusted), "doc_id").groupBy("doc_id").agg(F.count("*").alias("rows"))
-    known = docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id")  # at most as many rows as ``trusted``
+    rows = docs.select("doc_id").join(trusted, "doc_id").groupBy("doc_id").agg(F.count("*").alias("rows"))
+    texts = docs.select("doc_id", "text").join(rows, "doc_id")
     grams = let(words_of(F.col("text")), passing_grams)
-    alone = known.filter("rows = 1").select("doc_id", let(grams, score).alias("score"))
+    alone = texts.filter("rows = 1").select("doc_id", let(grams, lambda g: let(known, lambda k: score(g, k))).alias("score"))
     # The exploded value names ``rows`` so that no filter on it is pushed below the join, where it would read every text.
-    split = known.filter("rows > 1").select("doc_id", F.explode(F.when(F.col("rows") > 1, grams)).alias("bucket"))
+    split = texts.filter("rows > 1").select("doc_id", F.explode(F.when(F.col("rows") > 1, grams)).alias("bucket"))
     own = split.groupBy("doc_id", "bucket").agg(F.count("*").alias("n"))
     sizes = own.groupBy("doc_id").agg(F.sum("n").alias("size")).filter(F.col("size") < good_total)
-    parts = own.join(sizes, "doc_id").select("doc_id", "size", ratio(F.struct("bucket", "n"), F.col("size")).alias("part"))
+    parts = own.join(sizes, "doc_id").select("doc_id", "size", let(known, lambda k: ratio(F.struct("bucket", "n"), F.col("size"), k)).alias("part"))
     shared = parts.groupBy("doc_id").agg((F.sum("part") / (1000 * F.first("size"))).alias("score"))
     return alone.unionByName(shared)
 
