@@ -11,15 +11,17 @@ score far above what an equally good document outside the target gets. These sco
 unlabelled documents, however few labels there are.
 
 The trusted target is every labelled good document of the corpus, however many there are. The counts of the raw corpus
-cover every document. Bucket counts are shuffled, and the texts of trusted documents where their ids are too many to
-be broadcast; scoring is row-local, with the ``buckets`` weights (whole thousandths, so that sums don't depend on their
-order) as one constant array. The held-out scores are row-local too, but for rows that share an id.
+cover every document. Bucket counts are shuffled, and once the texts of trusted documents: a bounded bit filter of their ids
+keeps most other texts out of that join, and the n-grams found behind it are staged, so that no text is cut twice for the target. Scoring
+is row-local, with the ``buckets`` weights (whole thousandths, so that sums don't depend on their order) as one constant
+array. The held-out scores are row-local too, but for rows that share an id.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from snapledger.llm.common import BLANK_RUN, BLANKS, let, packed, stage, table
 from snapledger.llm.registry import query
@@ -31,6 +33,8 @@ BUCKETS = 1 << 16
 MISSED = 0.001
 #: Added to every bucket count, as a share of the mean count, so that no estimate is zero.
 SMOOTHING = 0.05
+#: Words of 64 bits in the id filter: the most rows of its broadcast. Beyond some ten million ids it lets most texts pass.
+FILTER_WORDS = 1 << 17
 
 
 def words_of(text: Column) -> Column:
@@ -117,16 +121,45 @@ def base_failed(n_words: Column, n_repeat_words: Column) -> Column:
     return (n_words < 50) | (100 * n_repeat_words > 50 * n_words)
 
 
-def bucket_weights(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> tuple[list[int], list[int], list[int]]:
-    """Log-likelihood ratio in thousandths, raw count and target count of every bucket, in bucket order: ``buckets`` numbers each."""
-    marked = docs.select("doc_id", "text").join(trusted.withColumn("trusted", F.lit(1)), "doc_id", "left")
-    counts = (
-        marked.select("trusted", F.explode(gram_buckets(words_of(F.col("text")), buckets)).alias("bucket"))
-        .groupBy("bucket")
-        .agg(F.count("*").alias("raw"), F.count("trusted").alias("good"))
-    )
+def likely_trusted(docs: DataFrame, trusted: DataFrame) -> DataFrame:
+    """``doc_id`` and ``text`` of all trusted documents and of some others, by one bit per hash value of a trusted id."""
+    docs, kind = docs.select("doc_id", "text"), docs.schema["doc_id"].dataType
+    if kind != trusted.schema["doc_id"].dataType or not isinstance(kind, (T.IntegralType, T.StringType)):
+        return docs  # equal ids of other types need not have equal hashes
+    place, bit = F.pmod(F.xxhash64("doc_id"), F.lit(64 * FILTER_WORDS)), F.expr("CAST(_place % 64 AS INT)")
+    word = F.shiftright("_place", 6).alias("_word")
+    ids = trusted.select(place.alias("_place")).select(word, F.expr("shiftleft(1L, CAST(_place % 64 AS INT))").alias("_bit"))
+    words = ids.groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    placed = docs.withColumn("_place", place).withColumn("_word", word)
+    return placed.join(F.broadcast(words), "_word").where(F.getbit("_bits", bit) == 1).select("doc_id", "text")
+
+
+def trusted_grams(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """Rows of trusted documents: doc_id, ``rows`` with that id, ``failed`` by the base rules, sorted ``grams``."""
+    rows = F.count("*").over(Window.partitionBy("doc_id"))
+    # An inner join: a semi join would be pushed below the filter and move every text.
+    texts = likely_trusted(docs, trusted).join(trusted.distinct(), "doc_id").withColumn("rows", rows)
+
+    def measured(ws: Column) -> Column:
+        return F.struct(
+            base_failed(F.size(ws), repeated_window_words(ws)).alias("failed"), F.sort_array(gram_buckets(ws, buckets)).alias("grams")
+        )
+
+    return stage(texts.select("doc_id", "rows", let(words_of(F.col("text")), measured).alias("m")).select("doc_id", "rows", "m.*"), "trusted-grams")
+
+
+def bucket_weights(
+    docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, target: DataFrame | None = None
+) -> tuple[list[int], list[int], list[int]]:
+    """Log-likelihood ratio in thousandths, raw count and target count of every bucket, in bucket order: ``buckets`` numbers each.
+
+    ``target`` may give the ``trusted_grams``, where a caller has them already.
+    """
+    target = trusted_grams(docs, trusted, buckets) if target is None else target
+    raw = docs.select(F.explode(gram_buckets(words_of(F.col("text")), buckets)).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("raw"))
+    good = target.select(F.explode("grams").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("good"))
     every = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket"))
-    counts = stage(every.join(counts, "bucket", "left").fillna(0, ["raw", "good"]), "bucket-counts")
+    counts = stage(every.join(raw, "bucket", "left").join(good, "bucket", "left").fillna(0, ["raw", "good"]), "bucket-counts")
     total = counts.agg(F.sum("raw").alias("raw"), F.sum("good").alias("good")).first()
 
     def share(count: str) -> Column:
@@ -153,12 +186,12 @@ def mean_weight(words: Column, weights: list[int]) -> Column:
     return let(gram_buckets(words, len(weights)), mean)
 
 
-def held_out_scores(docs: DataFrame, trusted: DataFrame, raw: list[int], good: list[int]) -> DataFrame:
+def held_out_scores(docs: DataFrame, trusted: DataFrame, raw: list[int], good: list[int], target: DataFrame | None = None) -> DataFrame:
     """(doc_id, score): scores of the trusted documents, each without its own n-grams in the target.
 
     An id with one row is scored inside that row: its n-gram counts are the run lengths of its sorted buckets. Rows that share
     a ``doc_id`` are left out together, their counts added up by a shuffle. The score is null for a document that fails the
-    base rules; one that is the whole target has none.
+    base rules; one that is the whole target has none. ``target`` may give the ``trusted_grams``.
     """
     buckets, raw_total, good_total = len(raw), sum(raw), sum(good)
 
@@ -188,15 +221,10 @@ def held_out_scores(docs: DataFrame, trusted: DataFrame, raw: list[int], good: l
         summed = F.aggregate(grams, first, step, lambda a: (a["total"] + ratio(a, size, known)) / (1000 * size))
         return F.when(size < good_total, summed)
 
-    def passing_grams(ws: Column) -> Column:
-        return F.when(~base_failed(F.size(ws), repeated_window_words(ws)), F.sort_array(gram_buckets(ws, buckets)))
-
-    rows = docs.select("doc_id").join(trusted, "doc_id").groupBy("doc_id").agg(F.count("*").alias("rows"))
-    texts = docs.select("doc_id", "text").join(rows, "doc_id")
-    grams = let(words_of(F.col("text")), passing_grams)
+    texts = trusted_grams(docs, trusted, buckets) if target is None else target
+    grams = F.when(~F.col("failed"), F.col("grams"))
     alone = texts.filter("rows = 1").select("doc_id", let(grams, lambda g: let(known, lambda k: score(g, k))).alias("score"))
-    # The exploded value names ``rows`` so that no filter on it is pushed below the join, where it would read every text.
-    split = texts.filter("rows > 1").select("doc_id", F.explode(F.when(F.col("rows") > 1, grams)).alias("bucket"))
+    split = texts.filter("rows > 1").select("doc_id", F.explode(grams).alias("bucket"))
     own = split.groupBy("doc_id", "bucket").agg(F.count("*").alias("n"))
     sizes = own.groupBy("doc_id").agg(F.sum("n").alias("size")).filter(F.col("size") < good_total)
     parts = own.join(sizes, "doc_id").select("doc_id", "size", let(known, lambda k: ratio(F.struct("bucket", "n"), F.col("size"), k)).alias("part"))
@@ -207,8 +235,7 @@ def held_out_scores(docs: DataFrame, trusted: DataFrame, raw: list[int], good: l
 def threshold_of(scores: DataFrame, missed: float) -> float:
     """The score that a share ``missed`` of the held-out scores lies below, the lowest of few; all pass if there are none.
 
-    Null scores don't count. They are left to the aggregate: a filter here would be pushed below the join with the
-    trusted ids and score the whole corpus.
+    Null scores don't count; the aggregate leaves them out.
     """
     at = scores.agg(F.expr(f"percentile_disc({missed!r}D) WITHIN GROUP (ORDER BY score)").alias("t")).first()["t"]
     return float("-inf") if at is None else at
@@ -223,8 +250,9 @@ def judge(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, missed: fl
     each counted in the corpus; a null id can't be trusted but is judged.
     """
     trusted = trusted_ids(labels)
-    weights, raw, good = bucket_weights(docs, trusted, buckets)
-    threshold = threshold_of(held_out_scores(docs, trusted, raw, good), missed)
+    target = trusted_grams(docs, trusted, buckets)
+    weights, raw, good = bucket_weights(docs, trusted, buckets, target)
+    threshold = threshold_of(held_out_scores(docs, trusted, raw, good, target), missed)
     added = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "score", "base_failed", "kept")
     own = [c for c in docs.columns if c not in added]
 

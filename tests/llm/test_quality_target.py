@@ -13,3 +13,18 @@ def test_every_good_label_is_trusted(spark):
     assert quality.trusted_ids(labels.unionByName(labels)).count() == 20_000
     labels = ids.select("doc_id", F.lit(1).alias("quality"), F.lit(None).cast("int").alias("toxic"))
     assert quality.trusted_ids(labels).count() == 30_000
+
+
+def test_only_likely_texts_are_joined_and_counts_stay_exact(spark):
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("one two"), F.col("id") % 50).alias("text"))
+    docs = docs.unionByName(docs.where("doc_id < 5"))
+    trusted = docs.where("doc_id % 10 = 0").select("doc_id").distinct()
+    likely = quality.likely_trusted(docs, trusted)
+    assert likely.join(trusted, "doc_id", "left_semi").count() == 2_001
+    assert likely.count() < 2_100
+    grams = quality.trusted_grams(docs, trusted, 1 << 8)
+    assert grams.count() == 2_001 and grams.where("rows = 2").count() == 2
+    _, raw, good = quality.bucket_weights(docs, trusted, 1 << 8, grams)
+    assert (sum(raw), sum(good)) == (5 * 20_005, 5 * 2_001)
+    other = trusted.select(F.col("doc_id").cast("int"))  # equal ids of another type still join
+    assert quality.trusted_grams(docs, other, 1 << 8).count() == 2_001
