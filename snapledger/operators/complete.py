@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from snapledger.operators.scan import carry_last
 from snapledger.staging import stage
@@ -155,20 +156,68 @@ def keep_first(items: DataFrame, order: list[str]) -> DataFrame:
     ).select("run_id", "item_id", "_r.*")
 
 
+#: Runs of at most so many rows are settled inside one row each; longer ones in rounds over all their keys.
+SHORT_RUN = 200
+
+
 def unique_cards(cards: DataFrame) -> DataFrame:
     """Keep a card only if no kept earlier card has its id or its URL.
 
-    Columns: run_id, seq, card_id, url. Rounds settle cards that are first on all their keys, then
-    drop the others that share a key with them; the number of rounds is the longest chain of such
-    decisions, and each round is one aggregate and one join.
+    Columns: run_id, seq, card_id, url. Rows of one run and seq are one card; rows without run or seq can't be told apart
+    and are left out. Short runs are settled card by card inside the run, after one shuffle; only runs of
+    more than ``SHORT_RUN`` rows go through rounds that spread over their keys.
     """
-    keyed = cards.withColumn(
-        "_keys",
-        F.filter(
-            F.array(F.concat(F.lit("id:"), F.col("card_id")), F.concat(F.lit("url:"), F.col("url"))),
-            lambda k: k.isNotNull(),
-        ),
+    cards = cards.where(F.col("run_id").isNotNull() & F.col("seq").isNotNull())
+    sizes = cards.groupBy("run_id").agg(F.count("*").alias("_n"))
+    long_runs = stage(sizes.where(F.col("_n") > SHORT_RUN).select("run_id"), "long-runs")
+    if long_runs.isEmpty():
+        return _settled_inside(cards)
+    rest = cards.join(long_runs, "run_id", "left_semi")
+    return _settled_inside(cards.join(long_runs, "run_id", "left_anti")).unionByName(_settled_in_rounds(rest))
+
+
+def _card_keys(card_id: Column, url: Column) -> Column:
+    """The keys of a card, null ones left out."""
+    return F.array_compact(F.array(F.concat(F.lit("id:"), card_id), F.concat(F.lit("url:"), url)))
+
+
+def _settled_inside(cards: DataFrame) -> DataFrame:
+    """Cards of short runs, by one fold over the cards of a run in order."""
+    rows = F.array_sort(F.collect_list(F.struct("seq", *[c for c in cards.columns if c not in ("run_id", "seq")])))
+    runs = cards.groupBy("run_id").agg(rows.alias("_rows"))
+    nothing = F.array().cast("array<string>")
+
+    def keys_of(row: Column) -> Column:
+        return _card_keys(row["card_id"], row["url"])
+
+    def step(a: Column, row: Column) -> Column:
+        # ``own`` are the keys of the rows of one card so far, ``taken`` those of the cards kept before it.
+        same = a["seq"].eqNullSafe(row["seq"])
+        taken = F.when(same | F.arrays_overlap(a["taken"], a["own"]), a["taken"]).otherwise(F.concat(a["taken"], a["own"]))
+        own = F.when(same, F.concat(a["own"], keys_of(row))).otherwise(keys_of(row))
+        bare = (F.size(keys_of(row)) == 0) | (same & a["bare"])
+        wins = bare | ~F.arrays_overlap(taken, own)
+        lost = F.when(same, F.slice(a["kept"], 1, F.size(a["kept"]) - a["last"].cast("int"))).otherwise(a["kept"])
+        kept = F.when(wins, F.array_append(lost, row["seq"])).otherwise(lost)
+        return F.struct(
+            row["seq"].alias("seq"), taken.alias("taken"), own.alias("own"), bare.alias("bare"), wins.alias("last"), kept.alias("kept")
+        )
+
+    seq = cards.schema["seq"].dataType
+    first = F.struct(
+        F.lit(None).cast(seq).alias("seq"), nothing.alias("taken"), nothing.alias("own"), F.lit(False).alias("bare"),
+        F.lit(False).alias("last"), F.array().cast(T.ArrayType(seq)).alias("kept"),
     )
+    kept = runs.select("run_id", "_rows", F.aggregate("_rows", first, step, lambda a: a["kept"]).alias("_kept"))
+    left = kept.select("run_id", F.explode(F.filter("_rows", lambda r: F.array_contains("_kept", r["seq"]))).alias("_r"))
+    return left.select("run_id", "_r.*").select(*cards.columns)
+
+
+def _settled_in_rounds(cards: DataFrame) -> DataFrame:
+    """Cards of long runs. Rounds settle cards that are first on all their keys, then drop the others that share a key
+    with them; the number of rounds is the longest chain of such decisions, and each round is one aggregate and one join.
+    """
+    keyed = cards.withColumn("_keys", _card_keys(F.col("card_id"), F.col("url")))
     kept = keyed.where(F.size("_keys") == 0).select("run_id", "seq")
     open_cards = stage(
         keyed.where(F.size("_keys") > 0).select("run_id", "seq", F.explode("_keys").alias("_key")), "cards"
