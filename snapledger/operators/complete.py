@@ -247,8 +247,8 @@ def page_reasons(
     reads status, redirect_path, has_location and block_reason.
     """
     seen = (
-        pages.select("run_id", "page_no", F.col("requested_url").alias("_url"))
-        .unionByName(pages.select("run_id", "page_no", F.col("final_url").alias("_url")))
+        # Both addresses from one pass: a union would compute the pages twice, in fewer and larger tasks.
+        pages.select("run_id", "page_no", F.explode(F.array_distinct(F.array("requested_url", "final_url"))).alias("_url"))
         .groupBy("run_id", "_url").agg(F.min("page_no").alias("_seen_at"))
     )
     at = lambda column, out: seen.withColumnsRenamed({"_url": column, "_seen_at": out})
