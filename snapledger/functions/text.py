@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Fixed value: the characters the normalizer treats as whitespace. Java's \s is narrower.
+# Fixed value: the characters the normalizer treats as whitespace. Java's \s is narrower. The two ranges in front hold all of
+# them: a letter is turned down by these, not by every range behind them.
 WS_CHARS = (
-    r"\x09-\x0d\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+    r"\x09-\x20\x85-\x{3000}&&"
+    r"[\x09-\x0d\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+)
+WS_LIST = "".join(
+    map(chr, (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
 )
 _WS_NO_LF = WS_CHARS.replace(r"\x09-\x0d", r"\x09\x0b-\x0d")
-_EDGE_WS = rf"\A[{WS_CHARS}]+|[{WS_CHARS}]+\z"
 
 
 def bind(df: DataFrame, name: str, value: Column) -> DataFrame:
@@ -29,7 +33,7 @@ def rebind(df: DataFrame, name: str, value: Column) -> DataFrame:
 
 
 def strip_ws(value: Column) -> Column:
-    return F.regexp_replace(value, _EDGE_WS, "")
+    return F.btrim(value, F.lit(WS_LIST))
 
 
 def blank_to_null(value: Column) -> Column:

@@ -21,7 +21,9 @@ _PARTS = ("scheme", "userinfo", "at", "host", "port", "path", "query")
 
 def split_url(url: Column) -> Column:
     """Array of the seven parts, or an array of size one when the text is not an HTTP(S) URL."""
-    clean = F.translate(strip_ws(url), "\t\r\n", "")
+    clean = strip_ws(url)
+    for char in "\t\r\n":
+        clean = F.replace(clean, F.lit(char), F.lit(""))
     return F.split(F.regexp_replace(clean, _URL, _SEP.join(f"${i}" for i in range(1, 8))), _SEP)
 
 
@@ -37,7 +39,7 @@ def with_parts(df: DataFrame, url: Column | str, prefix: str, crawl: bool = Fals
     port = F.try_to_number(blank_to_null(part(4)), F.lit("9999999999")).cast("bigint")
     port_ok = (part(4) == "") | ((F.length(part(4)) <= 10) & (port <= 65535))
     host, path = F.lower(part(3)), part(5)
-    ok = (F.size(array) == 7) & (F.regexp_replace(part(3), r"[\[\].]", "") != "") & port_ok
+    ok = (F.size(array) == 7) & part(3).rlike(r"[^\[\].]") & port_ok
     if crawl:
         host = F.regexp_replace(host, r"\.+\z", "")
         path = F.when(path == "", F.lit("/")).otherwise(path)
@@ -256,7 +258,7 @@ def drop_dots(path: Column) -> Column:
         bare.rlike(r"/\.{1,2}\z"), F.concat(folded, F.array(F.lit("")))
     ).otherwise(folded)
     return F.when(
-        bare.rlike(r"/\.{1,2}(/|\z)"), F.concat(F.lit("/"), F.array_join(closed, "/"), rest)
+        path.contains("/.") & bare.rlike(r"/\.{1,2}(/|\z)"), F.concat(F.lit("/"), F.array_join(closed, "/"), rest)
     ).otherwise(path)
 
 
