@@ -19,6 +19,8 @@ array. The held-out scores are row-local too, but for rows that share an id.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,32 +40,35 @@ FILTER_WORDS = 1 << 17
 
 
 def words_of(text: Column) -> Column:
-    return F.filter(F.split(F.coalesce(text, F.lit("")), BLANK_RUN), lambda w: w != "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), BLANK_RUN), "")
 
 
-def gram_buckets(words: Column, buckets: int = BUCKETS) -> Column:
-    """Hash buckets of all word unigrams and bigrams."""
+def neighbours(items: Column, of: Callable[[Column, Column], Column]) -> Column:
+    """``of`` every item and the next one; ``items`` must be bound. Slices, since places would be worked out per item."""
+    short = F.greatest(F.size(items) - 1, F.lit(0))
+    return F.zip_with(F.slice(items, 1, short), F.slice(items, 2, short), of)
 
-    def bucket(*parts: Column) -> Column:
-        return F.pmod(F.xxhash64(*parts), F.lit(buckets)).cast("int")
 
-    def both(ws: Column) -> Column:
-        pairs = F.when(
-            F.size(ws) >= 2,
-            F.transform(F.sequence(F.lit(1), F.size(ws) - 1), lambda i: bucket(F.get(ws, i - 1), F.get(ws, i))),
-        ).otherwise(F.array().cast("array<int>"))
-        return F.concat(F.transform(ws, lambda w: bucket(w)), pairs)
+def word_pairs(words: Column) -> Column:
+    """64-bit hashes of all word bigrams; ``words`` must be bound."""
+    return neighbours(words, lambda a, b: F.xxhash64(a, b))
 
-    return let(words, both)
 
+def in_bucket(hashed: Column, buckets: int) -> Column:
+    return F.pmod(hashed, F.lit(buckets))
 
-def repeated_window_words(words: Column) -> Column:
-    """Words inside 3-word windows that occur twice or more in the text (windows compared by 64-bit hash)."""
 
-    def windows(ws: Column) -> Column:
-        return F.transform(
-            F.sequence(F.lit(2), F.size(ws) - 1), lambda i: F.xxhash64(F.get(ws, i - 2), F.get(ws, i - 1), F.get(ws, i))
-        )
+def gram_buckets(words: Column, pairs: Column, buckets: int = BUCKETS) -> Column:
+    """Hash buckets of all word unigrams and bigrams."""
+    singles = F.transform(words, lambda w: in_bucket(F.xxhash64(w), buckets).cast("int"))
+    return F.concat(singles, F.transform(pairs, lambda p: in_bucket(p, buckets).cast("int")))
+
+
+def repeated_window_words(pairs: Column) -> Column:
+    """Words inside 3-word windows that occur twice or more in the text (windows compared by 64-bit hash).
+
+    A window is told by the hashes of its two ``pairs``, which must be bound.
+    """
 
     def covered(starts: Column) -> Column:
         """Length of the union of [p, p + 3) over ascending p."""
@@ -77,10 +82,10 @@ def repeated_window_words(words: Column) -> Column:
 
     def repeats(hashes: Column) -> Column:
         """Starts of repeated windows: equal neighbours after sorting (hash, position)."""
-        placed = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        placed = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
         return let(
             placed,
-            lambda s: F.array_sort(
+            lambda s: F.sort_array(
                 F.transform(
                     F.filter(
                         s,
@@ -95,19 +100,19 @@ def repeated_window_words(words: Column) -> Column:
     def count(hashes: Column) -> Column:
         return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0)).otherwise(covered(repeats(hashes)))
 
-    return let(words, lambda ws: F.when(F.size(ws) < 4, F.lit(0)).otherwise(let(windows(ws), count)))
+    return let(neighbours(pairs, lambda a, b: F.xxhash64(a, b)), count)
 
 
-def base_counts(text: Column, words: Column) -> dict[str, Column]:
+def base_counts(text: Column, words: Column, pairs: Column) -> dict[str, Column]:
     """The base columns, as the rule set defines them; null text counts as empty."""
     full = F.coalesce(text, F.lit(""))
     lines = F.filter(F.split(full, "\n", -1), lambda x: F.btrim(x, F.lit(BLANKS)) != "")
     return {
         "n_words": F.size(words),
-        "word_chars": F.char_length(F.translate(full, BLANKS, "")),
-        "n_symbols": F.char_length(full) - F.char_length(F.translate(full, SYMBOLS, "")),
+        "word_chars": F.char_length(F.array_join(words, "")),
+        "n_symbols": F.size(F.split(full, f"[{SYMBOLS}]", -1)) - 1,
         "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))),
-        "n_repeat_words": repeated_window_words(words),
+        "n_repeat_words": repeated_window_words(pairs),
     }
 
 
@@ -141,11 +146,24 @@ def trusted_grams(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -
     texts = likely_trusted(docs, trusted).join(trusted.distinct(), "doc_id").withColumn("rows", rows)
 
     def measured(ws: Column) -> Column:
-        return F.struct(
-            base_failed(F.size(ws), repeated_window_words(ws)).alias("failed"), F.sort_array(gram_buckets(ws, buckets)).alias("grams")
+        return let(
+            word_pairs(ws),
+            lambda pairs: F.struct(
+                base_failed(F.size(ws), repeated_window_words(pairs)).alias("failed"), gram_buckets(ws, pairs, buckets).alias("grams")
+            ),
         )
 
-    return stage(texts.select("doc_id", "rows", let(words_of(F.col("text")), measured).alias("m")).select("doc_id", "rows", "m.*"), "trusted-grams")
+    found = texts.select("doc_id", "rows", let(words_of(F.col("text")), measured).alias("m"))
+    return stage(found.select("doc_id", "rows", F.col("m.failed"), F.sort_array("m.grams").alias("grams")), "trusted-grams")
+
+
+def raw_counts(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """(bucket, raw): n-grams of all documents by bucket. Each word is a row beside the next word, so that no lambda runs per n-gram."""
+    words = docs.select(words_of(F.col("text")).alias("words"))
+    rows = words.select(F.inline(F.arrays_zip(F.col("words").alias("word"), F.slice("words", 2, F.greatest(F.size("words"), F.lit(0))).alias("next"))))
+    both = in_bucket(F.xxhash64("word"), buckets), F.when(F.col("next").isNotNull(), in_bucket(F.xxhash64("word", "next"), buckets))
+    grams = rows.select(F.stack(F.lit(2), *both).alias("bucket")).where(F.col("bucket").isNotNull())
+    return grams.groupBy(F.col("bucket").cast("int").alias("bucket")).agg(F.count("*").alias("raw"))
 
 
 def bucket_weights(
@@ -156,7 +174,7 @@ def bucket_weights(
     ``target`` may give the ``trusted_grams``, where a caller has them already.
     """
     target = trusted_grams(docs, trusted, buckets) if target is None else target
-    raw = docs.select(F.explode(gram_buckets(words_of(F.col("text")), buckets)).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("raw"))
+    raw = raw_counts(docs, buckets)
     good = target.select(F.explode("grams").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("good"))
     every = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket"))
     counts = stage(every.join(raw, "bucket", "left").join(good, "bucket", "left").fillna(0, ["raw", "good"]), "bucket-counts")
@@ -166,7 +184,7 @@ def bucket_weights(
         extra = SMOOTHING * total[count] / buckets + 1e-9
         return (F.col(count) + extra) / (total[count] + buckets * extra)
 
-    ratio = F.round(1000 * F.log(share("good") / share("raw"))).cast("int")
+    ratio = F.rint(1000 * F.log(share("good") / share("raw"))).cast("int")
     rows = sorted(counts.select("bucket", ratio.alias("weight"), "raw", "good").collect())  # ``buckets`` rows
     return [row["weight"] for row in rows], [row["raw"] for row in rows], [row["good"] for row in rows]
 
@@ -175,15 +193,17 @@ def constants(numbers: list[int], kind: str) -> Column:
     return F.split(F.lit(",".join(map(str, numbers))), ",").cast(f"array<{kind}>")
 
 
-def mean_weight(words: Column, weights: list[int]) -> Column:
-    """Mean log-likelihood ratio of a document's n-grams; 0 without any."""
-    listed = constants(weights, "int")
+def mean_weight(words: Column, weights: list[int], pairs: Column | None = None) -> Column:
+    """Mean log-likelihood ratio of a document's n-grams; 0 without any. ``pairs`` may give the ``word_pairs`` of bound words."""
+    if pairs is None:
+        return let(words, lambda ws: let(word_pairs(ws), lambda ps: mean_weight(ws, weights, ps)))
+    listed, none = constants(weights, "bigint"), F.lit(0).cast("bigint")
 
-    def mean(grams: Column) -> Column:
-        total = F.aggregate(grams, F.lit(0).cast("bigint"), lambda a, b: a + F.get(listed, b))
-        return total / (1000 * F.greatest(F.size(grams), F.lit(1)))
+    def add(total: Column, hashed: Column) -> Column:
+        return total + F.get(listed, in_bucket(hashed, len(weights)))
 
-    return let(gram_buckets(words, len(weights)), mean)
+    total = F.aggregate(pairs, F.aggregate(words, none, lambda a, w: add(a, F.xxhash64(w))), add)
+    return total / (1000 * F.greatest(F.size(words) + F.size(pairs), F.lit(1)))
 
 
 def held_out_scores(docs: DataFrame, trusted: DataFrame, raw: list[int], good: list[int], target: DataFrame | None = None) -> DataFrame:
@@ -195,31 +215,37 @@ def held_out_scores(docs: DataFrame, trusted: DataFrame, raw: list[int], good: l
     """
     buckets, raw_total, good_total = len(raw), sum(raw), sum(good)
 
-    def log_share(count: Column, total: Column) -> Column:
+    def smoothed(total: Column) -> Column:
+        """What is added to every count, and what the sum is divided by."""
         extra = SMOOTHING * total / buckets + 1e-9
-        return F.log((count + extra) / (total + buckets * extra))
+        return F.struct(extra.alias("extra"), (total + buckets * extra).alias("whole"))
 
-    def ratio(a: Column, size: Column, known: Column) -> Column:
-        """What the ``n`` n-grams of a bucket add to the sum of a document of ``size`` n-grams."""
-        target = log_share(F.get(known["good"], a["bucket"]) - a["n"], good_total - size)
-        each = F.round(1000 * (target - log_share(F.get(known["raw"], a["bucket"]), F.lit(raw_total))))
+    def log_share(count: Column, by: Column) -> Column:
+        return F.log((count + by["extra"]) / by["whole"])
+
+    def ratio(a: Column, by: Column, known: Column) -> Column:
+        """What the ``n`` n-grams of a bucket add to the sum of a document; ``by`` smooths the target without that document."""
+        target = log_share(F.get(known["good"], a["bucket"]) - a["n"], by)
+        each = F.rint(1000 * (target - log_share(F.get(known["raw"], a["bucket"]), every)))
         return F.when(a["n"] > 0, a["n"] * each.cast("bigint")).otherwise(F.lit(0).cast("bigint"))
 
     # Bound once per expression: every copy of these arrays would be kept, and printed, with each plan on the driver.
     known = F.struct(constants(good, "bigint").alias("good"), constants(raw, "bigint").alias("raw"))
+    every = smoothed(F.lit(raw_total))
 
     def score(grams: Column, known: Column) -> Column:
-        size = F.size(grams)
+        size, none, one = F.size(grams), F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
+
+        def summed(by: Column) -> Column:
+            def step(a: Column, bucket: Column) -> Column:
+                same = a["bucket"] == bucket
+                total = F.when(same, a["total"]).otherwise(a["total"] + ratio(a, by, known))
+                return F.struct(bucket.alias("bucket"), F.when(same, a["n"] + one).otherwise(one).alias("n"), total.alias("total"))
 
-        def step(a: Column, bucket: Column) -> Column:
-            same, one = a["bucket"] == bucket, F.lit(1).cast("bigint")
-            total = F.when(same, a["total"]).otherwise(a["total"] + ratio(a, size, known))
-            return F.struct(bucket.alias("bucket"), F.when(same, a["n"] + one).otherwise(one).alias("n"), total.alias("total"))
+            first = F.struct(F.lit(-1).alias("bucket"), none.alias("n"), none.alias("total"))
+            return F.aggregate(grams, first, step, lambda a: (a["total"] + ratio(a, by, known)) / (1000 * size))
 
-        none = F.lit(0).cast("bigint")
-        first = F.struct(F.lit(-1).alias("bucket"), none.alias("n"), none.alias("total"))
-        summed = F.aggregate(grams, first, step, lambda a: (a["total"] + ratio(a, size, known)) / (1000 * size))
-        return F.when(size < good_total, summed)
+        return F.when(size < good_total, let(smoothed(good_total - size), summed))
 
     texts = trusted_grams(docs, trusted, buckets) if target is None else target
     grams = F.when(~F.col("failed"), F.col("grams"))
@@ -227,7 +253,8 @@ def held_out_scores(docs: DataFrame, trusted: DataFrame, raw: list[int], good: l
     split = texts.filter("rows > 1").select("doc_id", F.explode(grams).alias("bucket"))
     own = split.groupBy("doc_id", "bucket").agg(F.count("*").alias("n"))
     sizes = own.groupBy("doc_id").agg(F.sum("n").alias("size")).filter(F.col("size") < good_total)
-    parts = own.join(sizes, "doc_id").select("doc_id", "size", let(known, lambda k: ratio(F.struct("bucket", "n"), F.col("size"), k)).alias("part"))
+    part = let(known, lambda k: let(smoothed(good_total - F.col("size")), lambda by: ratio(F.struct("bucket", "n"), by, k)))
+    parts = own.join(sizes, "doc_id").select("doc_id", "size", part.alias("part"))
     shared = parts.groupBy("doc_id").agg((F.sum("part") / (1000 * F.first("size"))).alias("score"))
     return alone.unionByName(shared)
 
@@ -256,12 +283,13 @@ def judge(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, missed: fl
     added = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "score", "base_failed", "kept")
     own = [c for c in docs.columns if c not in added]
 
-    def measured(ws: Column) -> Column:
-        counts = [v.cast("bigint").alias(k) for k, v in base_counts(F.col("text"), ws).items()]
-        return F.struct(*counts, mean_weight(ws, weights).alias("score"))
+    def measured(ws: Column, pairs: Column) -> Column:
+        counts = [v.cast("bigint").alias(k) for k, v in base_counts(F.col("text"), ws, pairs).items()]
+        return F.struct(*counts, mean_weight(ws, weights, pairs).alias("score"))
 
     row, m = F.col("_row"), F.col("_measured")  # the caller's columns travel as one struct, so that no name clashes
-    judged = docs.select(packed(docs.select(*[f"`{c}`" for c in own])), let(words_of(F.col("text")), measured).alias("_measured"))
+    words = let(words_of(F.col("text")), lambda ws: let(word_pairs(ws), lambda pairs: measured(ws, pairs)))
+    judged = docs.select(packed(docs.select(*[f"`{c}`" for c in own])), words.alias("_measured"))
     failed = base_failed(m["n_words"], m["n_repeat_words"])
     return judged.select(
         *[row[c].alias(c) for c in own],
