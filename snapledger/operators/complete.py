@@ -7,7 +7,7 @@ holds a third of all items still spreads over its ids and pages.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,13 +46,14 @@ def first_seen(items: DataFrame) -> DataFrame:
 
 def page_progress(items: DataFrame, pages: DataFrame) -> DataFrame:
     """Per page: number of new ids and distinct ids seen before it."""
+    return _with_new_ids(pages.select("run_id", "page_no").distinct(), items)
+
+
+def _with_new_ids(pages: DataFrame, items: DataFrame) -> DataFrame:
     fresh = first_seen(items).groupBy("run_id", F.col("first_page").alias("page_no")).agg(
         F.count("*").alias("new_ids")
     )
-    joined = pages.select("run_id", "page_no").distinct().join(fresh, ["run_id", "page_no"], "left").na.fill(
-        0, ["new_ids"]
-    )
-    return joined
+    return pages.join(fresh, ["run_id", "page_no"], "left").na.fill(0, ["new_ids"])
 
 
 def repeats(df: DataFrame, keys: list[str], order: str = "page_no", out: str = "repeated") -> DataFrame:
@@ -246,21 +247,11 @@ def page_reasons(
     ``pages``: run_id, page_no (1, 2, ...), requested_url, final_url, body, next_url; ``live`` also
     reads status, redirect_path, has_location and block_reason.
     """
-    seen = (
-        # Both addresses from one pass: a union would compute the pages twice, in fewer and larger tasks.
-        pages.select("run_id", "page_no", F.explode(F.array_distinct(F.array("requested_url", "final_url"))).alias("_url"))
-        .groupBy("run_id", "_url").agg(F.min("page_no").alias("_seen_at"))
-    )
-    at = lambda column, out: seen.withColumnsRenamed({"_url": column, "_seen_at": out})
-    progress = page_progress(items, pages)
-    if overlap_limit is not None:
-        progress = overlap_streak(progress, overlap_limit)
-    hashed = content_repeat(pages.withColumn("_blank", F.trim("body") == ""))
-    joined = (
-        hashed.join(at("requested_url", "_requested_at"), ["run_id", "requested_url"])
-        .join(at("final_url", "_final_at"), ["run_id", "final_url"])
-        .join(progress, ["run_id", "page_no"])
-    )
+    marked = _seen_before(pages)
+    if overlap_limit is None:
+        joined = _with_new_ids(marked, items)
+    else:
+        joined = marked.join(overlap_streak(page_progress(items, pages), overlap_limit), ["run_id", "page_no"])
     page = F.col("page_no")
     requested_again = F.col("_requested_at") < page
     final_again = (F.col("final_url") != F.col("requested_url")) & (F.col("_final_at") < page)
@@ -306,6 +297,26 @@ def page_reasons(
     return joined.select("run_id", "page_no", reason.alias("reason"))
 
 
+def _seen_before(pages: DataFrame) -> DataFrame:
+    """Pages with ``repeated`` (an earlier one has the same body), ``_requested_at`` and ``_final_at`` (first page with that
+    address, asked for or reached), without bodies and without pages that lack an address, a body or a number.
+
+    Only windows within a run: pages that are dealt by run stay where they are, others spread over bodies and addresses.
+    """
+    over = lambda *names: Window.partitionBy("run_id", *names)
+    first = lambda *names: F.min("page_no").over(over(*names))
+    known = pages.where(F.col("run_id").isNotNull())
+    hashed = known.withColumns({"_body": F.unhex(F.sha2("body", 256)), "_blank": F.trim("body") == ""}).drop("body")
+    whole = F.col("_body").isNotNull()
+    copies = over("page_no").orderBy("requested_url", "final_url", "_whole")
+    told = hashed.withColumns({"repeated": F.col("page_no") > first("_body"), "_whole": whole}).drop("_body").withColumn("_copy", F.row_number().over(copies))
+    # Both addresses of a page in one pass, then its two rows become one again.
+    each = told.withColumn("_url", F.explode(F.array_distinct(F.array("requested_url", "final_url")))).withColumn("_seen_at", first("_url"))
+    final_at = F.max(F.when(F.col("_url") == F.col("final_url"), F.col("_seen_at"))).over(over("page_no", "_copy"))
+    asked = each.withColumn("_final_at", final_at).where(F.col("_url") == F.col("requested_url")).withColumnRenamed("_seen_at", "_requested_at")
+    return asked.where("_whole AND page_no IS NOT NULL AND final_url IS NOT NULL").drop("_whole", "_copy", "_url")
+
+
 def stop_reason(reasons: DataFrame) -> DataFrame:
     """First page with a reason, per run."""
     stopped = reasons.where(F.col("reason").isNotNull())

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from snapledger.operators import complete as co
-from snapledger.suite.registry import query
+from snapledger.suite.registry import Tables, query
 from snapledger.suite.roles import FETCHED, ITEMS, wrap
 
 
@@ -16,6 +16,15 @@ def _numbered(t):
     return items.join(pages.select("run_id", "raw_page", "page_no"), ["run_id", "raw_page"]), pages
 
 
+class _ByRun(Tables):
+    """The same tables with the items of a run in one task: its pages are numbered there, and all that a stop reason
+    compares lies within its run, so nothing needs to move a second time."""
+
+    @property
+    def lineitem(self):
+        return self.spark.read.parquet(f"{self.folder}/lineitem.parquet").repartition("l_orderkey")
+
+
 _NUMBERED = {
     "raw": ITEMS, "p": FETCHED,
     "i": "SELECT raw.run_id, p.page_no, position, item_id, title, advertised_total FROM raw JOIN p ON raw.run_id = p.run_id AND raw.page_no = p.raw_page",
@@ -157,7 +166,8 @@ _REASONS = """, h AS (SELECT p.*, g.new_ids, page_no_first_url, page_no_first_bo
       WHERE reason IS NOT NULL GROUP BY run_id""",
 )
 def _stop(t):
-    items, pages = _numbered(t)
+    items, _pages = _numbered(t)
+    pages = _ByRun(t.spark, t.folder).sql(FETCHED)
     return co.stop_reason(co.page_reasons(pages, items, max_pages=5, max_requests=6))
 
 
