@@ -63,6 +63,6 @@ def test_pages_dealt_by_run_stay(spark):
 def test_queries_deal_pages_by_run(spark):
     from snapledger.suite import load
 
-    for name, most in (("stop_reason", 9),):
+    for name, most in (("stop_reason", 9), ("stop_reason_live", 19)):
         plan = load()[0][name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert plan.count("Exchange hashpartitioning") <= most, (name, plan.count("Exchange hashpartitioning"))
